@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillstone.operators import diff
+
+QUERIES: dict = {"p2_found": diff.p2_found}
+SQL: dict[str, str] = {"p2_found": diff.P2_FOUND}
 FLAGSHIP = "hybrid_search"

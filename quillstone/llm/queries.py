@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import tokenizing
+from . import splitting, tokenizing
 
 QUERIES = {
+    "p4_found": splitting.p4_found,
+    "p4_pieces": splitting.p4_pieces,
     "p7_ids": tokenizing.p7_ids,
 }
 

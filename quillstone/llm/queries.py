@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import splitting, tokenizing
+from . import neighbours, splitting, tokenizing
 
 QUERIES = {
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
+    "p6_found": neighbours.p6_found,
+    "p6_neighbours": neighbours.p6_neighbours,
     "p7_ids": tokenizing.p7_ids,
 }
 

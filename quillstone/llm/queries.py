@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import neighbours, splitting, tokenizing
+from . import history, neighbours, splitting, tokenizing
 
 QUERIES = {
+    "p1_found": history.p1_found,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
     "p6_found": neighbours.p6_found,

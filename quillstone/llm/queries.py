@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, neighbours, splitting, tokenizing
+from . import history, leakage, neighbours, splitting, tokenizing
 
 QUERIES = {
     "p1_found": history.p1_found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p6_found": neighbours.p6_found,
     "p6_neighbours": neighbours.p6_neighbours,
     "p7_ids": tokenizing.p7_ids,
+    "p8_found": leakage.p8_found,
 }
 
 #: None of these operators can be written as SQL over whole tables; tests hold them

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import history, leakage, neighbours, splitting, tokenizing
+from . import encoding, history, leakage, neighbours, splitting, tokenizing
 
 QUERIES = {
     "p1_found": history.p1_found,
+    "p3_found": encoding.p3_found,
+    "p3_restored": encoding.p3_restored,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
     "p6_found": neighbours.p6_found,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, history, leakage, neighbours, splitting, tokenizing
+from . import encoding, history, leakage, neighbours, reading, splitting, tokenizing
 
 QUERIES = {
     "p1_found": history.p1_found,
@@ -14,6 +14,7 @@ QUERIES = {
     "p6_neighbours": neighbours.p6_neighbours,
     "p7_ids": tokenizing.p7_ids,
     "p8_found": leakage.p8_found,
+    "p9_found": reading.p9_found,
 }
 
 #: None of these operators can be written as SQL over whole tables; tests hold them

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, history, leakage, neighbours, reading, splitting, tokenizing
+from . import boilerplate, encoding, history, leakage, neighbours, reading, splitting, tokenizing
 
 QUERIES = {
     "p1_found": history.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_restored": encoding.p3_restored,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
+    "p5_found": boilerplate.p5_found,
+    "p5_bodies": boilerplate.p5_bodies,
     "p6_found": neighbours.p6_found,
     "p6_neighbours": neighbours.p6_neighbours,
     "p7_ids": tokenizing.p7_ids,

@@ -37,30 +37,27 @@ PAIR = 9
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _END = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=[#>*\-\d])|\s+(?:and then|und dann|et puis|y luego|y después)\s+")
-_WORD = re.compile(r"[^\W\d_]+(?:_[^\W_]+)*")
-_ODD = re.compile(r"[{}\[\]=<>|\\/_]")
+_WORD = re.compile(r"(?<!_)\b[^\W\d_]+\b(?!_)")
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Folded words of each sentence; code, and words that are names (capitalised inside) or identifiers, don't count."""
-    out = []
-    for part in _END.split(_FENCE.sub("\n\n", text)):
-        found = _WORD.findall(part)
-        if found:
-            kept = [fold(w) for w in found if "_" not in w]
-            out.append(kept)
-    return out
+    """Folded words of each sentence that has some; code and identifiers (words with underscores) don't count."""
+    text = fold(_FENCE.sub("\n\n", text) if "```" in text else text)
+    return [found for part in _END.split(text) if (found := _WORD.findall(part))]
 
 
 class Features(dict):
-    """Word -> feature numbers (the word, its ending, its character groups, its length), remembered."""
+    """Word or pair -> feature numbers (the word, its ending, its length, its character groups), remembered."""
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 300_000:
+    def __missing__(self, item) -> np.ndarray:
+        if len(self) > 500_000:
             self.clear()
-        grams = {f"c{word[i : i + 4]}" for i in range(len(word) - 3)} if len(word) > 4 else set()
-        names = [f"w{word}", f"e{word[-4:]}", f"l{min(len(word), 16)}", *sorted(grams)]
-        self[word] = out = np.array([number(n) for n in names], np.int64)
+        if isinstance(item, str):
+            grams = {f"c{item[i : i + 4]}" for i in range(len(item) - 3)} if len(item) > 4 else set()
+            names = [f"w{item}", f"e{item[-4:]}", f"l{min(len(item), 16)}", *sorted(grams)]
+        else:
+            names = ["p%s %s" % item]
+        self[item] = out = np.array([number(n) for n in names], np.int64)
         return out
 
 
@@ -83,11 +80,8 @@ class Scorer:
         self.shares = np.zeros((4096, LEVELS), np.float32)
 
     def learn(self, item) -> int:
-        if isinstance(item, str):
-            f = self.features[item]
-            share = self.weights[f[0]] + CHARACTERS * self.weights[f[1:]].sum(axis=0)
-        else:
-            share = self.weights[number("p%s %s" % item)]
+        f = self.features[item]
+        share = self.weights[f[0]] + CHARACTERS * self.weights[f[1:]].sum(axis=0)
         at = self.places[item] = len(self.places)
         if at == len(self.shares):
             self.shares = np.vstack([self.shares, np.zeros_like(self.shares)])
@@ -110,7 +104,7 @@ class Scorer:
 
     def document(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the mean distribution of the sentences by words."""
-        parts = [s for s in sentences(text) if s]
+        parts = sentences(text)
         if not parts:
             return 0, np.full(LEVELS, 1 / LEVELS)
         sizes = np.array([len(s) for s in parts])
@@ -139,22 +133,30 @@ def feature_counts(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, LEVELS))
+        total = np.zeros((LEVELS, FEATURES))
         features, scorer = Features(), None if shared.value is None else Scorer(shared.value)
         for batch in batches:
+            at, sizes, shares = [], [], []
             for text, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for s in sentences(text or ""):
-                    if not s:
-                        continue
-                    share = np.zeros(LEVELS)
-                    share[level - 1] = 1
-                    if scorer is not None:
-                        score = scorer.scores([s])[0]
-                        p = np.exp(score - score.max()) * np.where(np.arange(LEVELS) == level - 1, 1.0, 0.2)
-                        share = p / p.sum()
-                    np.add.at(total, np.concatenate([features[w] for w in s] + [np.array([number("p%s %s" % p) for p in pairs(s)], np.int64)]), share)
-        at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(LEVELS))], ["f", "n1", "n2", "n3"])
+                parts = sentences(text or "")
+                if not parts:
+                    continue
+                own = np.eye(LEVELS)[np.full(len(parts), level - 1)]
+                if scorer is not None:
+                    score = scorer.scores(parts)
+                    own = np.exp(score - score.max(axis=1, keepdims=True)) * np.where(own > 0, 1.0, 0.2)
+                    own /= own.sum(axis=1, keepdims=True)
+                shares.append(own)
+                for s in parts:
+                    found = [features[item] for item in (*s, *pairs(s))]
+                    at += found
+                    sizes.append(sum(map(len, found)))
+            if at:
+                at, share = np.concatenate(at), np.repeat(np.concatenate(shares), sizes, axis=0)
+                for k in range(LEVELS):
+                    total[k] += np.bincount(at, share[:, k], FEATURES)
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[k, at]) for k in range(LEVELS))], ["f", "n1", "n2", "n3"])
 
     rows = docs.select("text", "level").mapInArrow(run, "f int, n1 double, n2 double, n3 double").groupBy("f").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3))).toPandas()
     counts = np.zeros((FEATURES, LEVELS))

@@ -27,7 +27,7 @@ LEAST_WORDS = 20
 #: Hashed features; the fitted weights are an array of this many rows, whatever the corpus.
 FEATURES = 1 << 18
 #: Labelled documents used for fitting, at most (the smallest hashes of their ids).
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Additive smoothing of feature counts and the largest weight a feature may have.
 SMOOTH, LARGEST = 0.5, 3.0
 #: Weight of the character groups of a word beside the word itself.
@@ -92,15 +92,20 @@ class Scorer:
         """Log scores of non-empty sentences."""
         if len(self.places) > 500_000:
             self.places.clear()
-        flat: list[int] = []
+        items: list = []
         starts = []
-        get, learn = self.places.get, self.learn
         for s in parts:
-            starts.append(len(flat))
-            for item in (*s, *pairs(s)):
-                at = get(item)
-                flat.append(learn(item) if at is None else at)
-        return np.add.reduceat(self.shares[np.array(flat)], starts, axis=0)
+            starts.append(len(items))
+            items += s
+            items += pairs(s)
+        at = list(map(self.places.get, items))
+        if None in at:
+            at = [self.known(x) if i is None else i for i, x in zip(at, items)]
+        return np.add.reduceat(self.shares[np.array(at)], starts, axis=0)
+
+    def known(self, item) -> int:
+        at = self.places.get(item)
+        return self.learn(item) if at is None else at
 
     def document(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the mean distribution of the sentences by words."""

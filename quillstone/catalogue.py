@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quillstone.operators import diff
+from quillstone.plans import retrieval_queries
 
-QUERIES: dict = {"p2_found": diff.p2_found}
-SQL: dict[str, str] = {"p2_found": diff.P2_FOUND}
+QUERIES: dict = {"p2_found": diff.p2_found} | retrieval_queries.QUERIES
+SQL: dict[str, str] = {"p2_found": diff.P2_FOUND} | retrieval_queries.SQL
 FLAGSHIP = "hybrid_search"

@@ -81,36 +81,37 @@ def per_query_hits(found: DataFrame, relevant: DataFrame, top_k: int) -> DataFra
 # Generated text
 
 
-def counted(array: Column) -> Column:
-    """Elements numbered by occurrence, so that set intersection counts each as often as in both."""
-    sorted_ = F.array_sort(array)
-    return F.transform(sorted_, lambda x, i: F.concat_ws("\x1f", x, (i - F.array_position(sorted_, x) + 1).cast("string")))
+def overlaps(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """``(query_id, la, lr, b1 .. bn)`` of ``(query_id, answer, reference)``: words of both, and n-grams in common as often as in both."""
+    worded = pairs.select("query_id", T.words(F.col("answer")).alias("a"), T.words(F.col("reference")).alias("r"))
 
+    def grams(side: str, name: str) -> DataFrame:
+        some = F.array(*(F.struct(F.lit(n).alias("n"), T.ngrams(F.col(side), n).alias("g")) for n in range(1, most + 1)))
+        rows = worded.select("query_id", F.explode(some).alias("s")).select("query_id", "s.n", F.explode("s.g").alias("g"))
+        return rows.groupBy("query_id", "n", "g").agg(F.count("*").alias(name))
 
-def shared(x: Column, y: Column) -> Column:
-    return F.size(F.array_intersect(counted(x), counted(y)))
+    both = grams("a", "x").join(grams("r", "y"), ["query_id", "n", "g"]).groupBy("query_id").agg(
+        *(F.sum(F.when(F.col("n") == n, F.least("x", "y")).otherwise(F.lit(0))).alias(f"b{n}") for n in range(1, most + 1))
+    )
+    sizes = worded.select("query_id", F.size("a").alias("la"), F.size("r").alias("lr"))
+    return sizes.join(both, "query_id", "left").fillna(0)
 
 
-def rouge1(answer: Column, reference: Column) -> Column:
-    """F1 of clipped word overlap."""
-    a, r = T.words(answer), T.words(reference)
-    both = shared(a, r)
-    return F.coalesce(F.when(both > 0, 2 * both / (F.size(a) + F.size(r))), F.lit(0.0))
+def rouge1() -> Column:
+    """F1 of clipped word overlap, over ``overlaps``; 0 if a side is empty."""
+    return F.coalesce(F.when(F.col("b1") > 0, 2 * F.col("b1") / (F.col("la") + F.col("lr"))), F.lit(0.0))
 
 
-def bleu(answer: Column, reference: Column, n: int = 4) -> Column:
-    """Geometric mean of clipped n-gram precisions with brevity penalty; orders without n-grams are skipped, any 0 gives 0."""
-    a, r = T.words(answer), T.words(reference)
-    logs, orders, zero = F.lit(0.0), F.lit(0), F.lit(False)
+def bleu(n: int = 4) -> Column:
+    """Geometric mean of clipped n-gram precisions with brevity penalty, over ``overlaps``; orders without n-grams are skipped, any 0 gives 0."""
+    la, lr = F.col("la"), F.col("lr")
+    logs, fit = F.lit(0.0), (la > 0) & (lr > 0)
     for k in range(1, n + 1):
-        mine, theirs = T.ngrams(a, k), T.ngrams(r, k)
-        size, both = F.size(mine), shared(mine, theirs)
-        orders = orders + F.when(size > 0, 1).otherwise(0)
-        zero = zero | ((size > 0) & (both == 0))
-        logs = logs + F.when((size > 0) & (both > 0), F.log(both / size)).otherwise(0.0)
-    penalty = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.size(a)))
-    fit = (F.size(a) > 0) & (F.size(r) > 0) & ~zero
-    return F.coalesce(F.when(fit, penalty * F.exp(logs / orders)), F.lit(0.0))
+        both, there = F.col(f"b{k}"), la >= k
+        fit = fit & (~there | (both > 0))
+        logs = logs + F.when(there & (both > 0), F.log(both / F.greatest(la - (k - 1), F.lit(1)))).otherwise(0.0)
+    penalty = F.least(F.lit(1.0), F.exp(1 - lr / F.greatest(la, F.lit(1))))
+    return F.when(fit, penalty * F.exp(logs / F.least(F.greatest(la, F.lit(1)), F.lit(n)))).otherwise(0.0)
 
 
 def word_overlap(x: Column, y: Column) -> Column:

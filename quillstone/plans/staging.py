@@ -6,6 +6,7 @@ lost executor costs a read, not the whole chain before it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*stages: DataFrame) -> None:
     """Delete stages that nothing will read again."""
     for df in stages:

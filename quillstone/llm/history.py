@@ -24,14 +24,14 @@ from pyspark.sql import Window
 
 from quillstone.functions.words import words
 from quillstone.plans.broadcasting import broadcast_if_small
-from quillstone.plans.staging import stage
+from quillstone.plans.staging import release, stage
 
 SHINGLE = 5
 #: Share of the longer record's words that must be shared.
 SIMILAR = 0.8
 #: Share of tokens, by kind (around rare words, all), that similar records have in common at
 #: least. A changed word takes five shingles along, and a word put in is often itself rare.
-SHARED = (0.2, 0.35)
+SHARED = (0.3, 0.35)
 #: A rare word is in at most this share of the records; so the frequent words, which are
 #: broadcast, are at most (words a record / RARE): a few thousand at any corpus size.
 RARE = 0.02
@@ -146,12 +146,9 @@ def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarr
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """``(token, rec, kind, n_tokens, n_words, first, last)``: all tokens of each text."""
+    """``(token, rec, kind, n_tokens)``: all tokens of each text."""
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("anchored").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("whole").alias("t"))))
-    return (
-        texts.select("rec", "n_words", "first", "last", kinds.alias("k"))
-        .select("rec", "n_words", "first", "last", "k.kind", F.size("k.t").alias("n_tokens"), F.explode("k.t").alias("token"))
-    )
+    return texts.select("rec", kinds.alias("k")).select("rec", "k.kind", F.size("k.t").alias("n_tokens"), F.explode("k.t").alias("token"))
 
 
 def token_counts(posted: DataFrame) -> DataFrame:
@@ -159,21 +156,22 @@ def token_counts(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def prefixes(posted: DataFrame, counts: DataFrame) -> DataFrame:
-    """The postings of each text's rarest tokens, without those that occur only once.
+def prefixes(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(token, rec, n_words, first, last)``: each text's rarest tokens, without those that occur only once.
 
     Two texts that share at least ``SHARED`` of the tokens of either share one of the
-    n - ceil(SHARED n) + 1 rarest of each; tokens missing in ``counts`` are the rarest of all.
+    n - ceil(SHARED n) + 1 rarest of each; of equal rarity the smaller token comes first.
     """
     own = Window.partitionBy("rec", "kind")
     share = F.when(F.col("kind") == 0, SHARED[0]).otherwise(SHARED[1])
     length = F.col("n_tokens") - F.ceil(F.col("n_tokens") * share).cast("int") + 1
-    return (
-        posted.join(counts, "token")
-        .withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("n_tokens") - F.count("*").over(own))
-        .where(F.col("place") <= length)
-        .select("token", "rec", "n_words", "first", "last")
-    )
+    counted = stage(postings(texts).join(counts, "token"), "counted")
+    release(texts.sparkSession)
+    rare = (
+        counted.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("n_tokens") - F.count("*").over(own))
+        .where(F.col("place") <= length).select("rec", "token")
+    )
+    return rare.join(texts.select("rec", "n_words", "first", "last"), "rec")
 
 
 def meetings(probe: DataFrame, index: DataFrame, condition: Column) -> DataFrame:
@@ -206,6 +204,7 @@ def verify(pairs: DataFrame, texts: DataFrame, content: DataFrame) -> DataFrame:
     )
     enough = lambda p, q, share: (F.size(p) > 0) & (F.size(q) > 0) & (F.size(F.array_intersect(p, q)) >= F.ceil(F.greatest(F.size(p), F.size(q)) * share))
     near = stage(near.where(enough("aa", "ba", SHARED[0]) | enough("aw", "bw", SHARED[1])).select("a", "b"), "near")
+    release(texts.sparkSession)
     wanted = near.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
     read = content.join(broadcast_if_small(wanted), "rec", "left_semi")
     both = near.join(read.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
@@ -239,8 +238,10 @@ def same_file(records: DataFrame, key: str, batch: str, text: str, digest: str)
 
 def class_pairs(texts: DataFrame, content: DataFrame) -> DataFrame:
     """Similar classes ``(a, b)``, unless all records of both came in one batch."""
-    posted = postings(texts)
-    prefix = stage(prefixes(posted, token_counts(posted)), "prefixes")
+    counts = stage(token_counts(postings(texts)), "counts")
+    release(texts.sparkSession)
+    prefix = stage(prefixes(texts, counts), "prefixes")
+    release(texts.sparkSession)
     apart = ~((F.col("x.first") == F.col("x.last")) & (F.col("y.first") == F.col("y.last")) & (F.col("x.first") == F.col("y.first")))
     return verify(meetings(prefix, prefix, (F.col("x.rec") < F.col("y.rec")) & apart), texts, content)
 
@@ -258,6 +259,8 @@ def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | No
     records = records.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{batch}`").isNotNull())
     base = stage(read(records, key, batch, text, frequent_words(records, text)), "texts")
     members, texts = representatives(base)
+    texts = stage(texts, "classes")
+    release(records.sparkSession)
     content = records.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text"))
     similar = class_pairs(texts, content)
     m = members.alias("m"), members.alias("o")
@@ -298,9 +301,8 @@ class Index:
         self._append(base, history, key, text, "overwrite")
 
     def _prefixes(self, base: DataFrame) -> DataFrame:
-        posted = postings(base)
-        counts = posted.select("token").distinct().join(self._read("counts"), "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
-        return prefixes(posted, counts).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
+        counts = postings(base).select("token").distinct().join(self._read("counts"), "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
+        return prefixes(base, counts).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
 
     def _append(self, base: DataFrame, records: DataFrame, key: str, text: str, mode: str) -> None:
         self._prefixes(base).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")

@@ -35,88 +35,111 @@ CHARACTERS = 0.15
 ROUNDS = 3
 PAIR = 9
 
-_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_END = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=[#>*\-\d])|\s+(?:and then|und dann|et puis|y luego|y después)\s+")
-_WORD = re.compile(r"(?<!_)\b[^\W\d_]+\b(?!_)")
-
-
-def sentences(text: str) -> list[list[str]]:
-    """Folded words of each sentence that has some; code and identifiers (words with underscores) don't count."""
-    text = fold(_FENCE.sub("\n\n", text) if "```" in text else text)
-    return [found for part in _END.split(text) if (found := _WORD.findall(part))]
-
+#: Remembered words of a task; beyond it the memory starts afresh (results do not change).
+MEMORY = 1 << 19
+WORD, OTHER, BREAK = 0, 1, 2
 
-class Features(dict):
-    """Word or pair -> feature numbers (the word, its ending, its length, its character groups), remembered."""
-
-    def __missing__(self, item) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        if isinstance(item, str):
-            grams = {f"c{item[i : i + 4]}" for i in range(len(item) - 3)} if len(item) > 4 else set()
-            names = [f"w{item}", f"e{item[-4:]}", f"l{min(len(item), 16)}", *sorted(grams)]
-        else:
-            names = ["p%s %s" % item]
-        self[item] = out = np.array([number(n) for n in names], np.int64)
-        return out
+_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_ITEM = re.compile(r"\w+|[.!?;:](?=\s)|\n(?=\s*[\n#>*\-\d])")
 
 
 def number(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
 
-def pairs(words: list[str]) -> list[tuple[str, str]]:
-    """Neighbouring short words, which carry the syntax: together at most PAIR letters."""
-    return [(a, b) for a, b in zip(words, words[1:]) if len(a) + len(b) <= PAIR]
+def features(word: str) -> np.ndarray:
+    """Of a word: itself, its ending, its length, its character groups."""
+    grams = {f"c{word[i : i + 4]}" for i in range(len(word) - 3)} if len(word) > 4 else set()
+    return np.array([number(n) for n in (f"w{word}", f"e{word[-4:]}", f"l{min(len(word), 16)}", *sorted(grams))], np.int64)
+
 
+class Reader:
+    """Texts as arrays: items (words, others, sentence breaks) and pairs of short words, with what was learned of each.
 
-class Scorer:
-    """Sentence distributions under fitted weights (FEATURES x LEVELS); the share of a word or pair is computed once."""
+    Code doesn't count, nor identifiers and numbers. ``weights`` (FEATURES x LEVELS) give each
+    item its share of the levels' log scores.
+    """
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray | None = None):
         self.weights = weights
-        self.features = Features()
-        self.places: dict = {}
-        self.shares = np.zeros((4096, LEVELS), np.float32)
-
-    def learn(self, item) -> int:
-        f = self.features[item]
-        share = self.weights[f[0]] + CHARACTERS * self.weights[f[1:]].sum(axis=0)
-        at = self.places[item] = len(self.places)
-        if at == len(self.shares):
-            self.shares = np.vstack([self.shares, np.zeros_like(self.shares)])
-        self.shares[at] = share
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.names: list[str] = []
+        self.kinds, self.lengths = np.zeros(4096, np.int8), np.zeros(4096, np.int32)
+        self.pair_places: dict[int, int] = {}
+        self.pair_numbers: list[int] = []
+        self.features: list[np.ndarray] = []
+        self.shares, self.pair_shares = np.zeros((4096, LEVELS), np.float32), np.zeros((4096, LEVELS), np.float32)
+
+    def learn(self, item: str) -> int:
+        at = self.places.get(item)
+        if at is not None:
+            return at
+        at = self.places[item] = len(self.names)
+        self.names.append(item)
+        if at == len(self.kinds):
+            self.kinds, self.lengths = np.resize(self.kinds, 2 * at), np.resize(self.lengths, 2 * at)
+            self.shares = np.resize(self.shares, (2 * at, LEVELS))
+        kind = WORD if item.isalpha() else OTHER if item[0].isalnum() or item[0] == "_" else BREAK
+        found = features(item) if kind == WORD else np.zeros(0, np.int64)
+        self.kinds[at], self.lengths[at] = kind, len(item) if kind == WORD else 2 * PAIR
+        self.features.append(found)
+        self.shares[at] = self.weights[found[0]] + CHARACTERS * self.weights[found[1:]].sum(axis=0) if self.weights is not None and len(found) else 0
+        return at
+
+    def learn_pair(self, code: int) -> int:
+        at = self.pair_places.get(code)
+        if at is not None:
+            return at
+        at = self.pair_places[code] = len(self.pair_numbers)
+        n = number(f"p{self.names[code >> 20]} {self.names[code & 0xFFFFF]}")
+        self.pair_numbers.append(n)
+        if at == len(self.pair_shares):
+            self.pair_shares = np.resize(self.pair_shares, (2 * at, LEVELS))
+        self.pair_shares[at] = 0 if self.weights is None else self.weights[n]
         return at
 
-    def scores(self, parts: list[list[str]]) -> np.ndarray:
-        """Log scores of non-empty sentences."""
-        if len(self.places) > 500_000:
-            self.places.clear()
-        items: list = []
-        starts = []
-        for s in parts:
-            starts.append(len(items))
-            items += s
-            items += pairs(s)
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(items, their sentences, places of pairs, pairs)``."""
+        if len(self.names) > MEMORY or len(self.pair_numbers) > MEMORY:
+            self.forget()
+        items = _ITEM.findall(fold(_FENCE.sub("\n\n", text) if "```" in text else text))
         at = list(map(self.places.get, items))
         if None in at:
-            at = [self.known(x) if i is None else i for i, x in zip(at, items)]
-        return np.add.reduceat(self.shares[np.array(at)], starts, axis=0)
-
-    def known(self, item) -> int:
-        at = self.places.get(item)
-        return self.learn(item) if at is None else at
-
-    def document(self, text: str) -> tuple[int, np.ndarray]:
-        """Number of words, and the mean distribution of the sentences by words."""
-        parts = sentences(text)
-        if not parts:
-            return 0, np.full(LEVELS, 1 / LEVELS)
-        sizes = np.array([len(s) for s in parts])
-        score = self.scores(parts)
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        return int(sizes.sum()), (p * sizes[:, None]).sum(axis=0) / sizes.sum()
+            at = [self.learn(x) if i is None else i for i, x in zip(at, items)]
+        at = np.array(at, np.int64)
+        lengths = self.lengths[at]
+        first = np.flatnonzero(lengths[:-1] + lengths[1:] <= PAIR)
+        codes = (at[first] << 20 | at[first + 1]).tolist()
+        pairs = list(map(self.pair_places.get, codes))
+        if None in pairs:
+            pairs = [self.learn_pair(c) if i is None else i for i, c in zip(pairs, codes)]
+        return at, np.cumsum(self.kinds[at] == BREAK), first, np.array(pairs, np.int64)
+
+    def scores(self, at: np.ndarray, sentence: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(log scores, words)`` of each sentence."""
+        share = self.shares[at]
+        share[first] += self.pair_shares[pairs]
+        n = int(sentence[-1]) + 1
+        scores = np.stack([np.bincount(sentence, share[:, k], n) for k in range(LEVELS)], 1)
+        return scores, np.bincount(sentence, self.kinds[at] == WORD, n)
+
+    def document(self, text: str) -> np.ndarray:
+        """The mean distribution of the sentences, by words."""
+        found = self.read(text)
+        if len(found[0]):
+            score, sizes = self.scores(*found)
+            if sizes.any():
+                p = softmax(score)
+                return (p * sizes[:, None]).sum(axis=0) / sizes.sum()
+        return np.full(LEVELS, 1 / LEVELS)
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def labels_of(labels: DataFrame, key: str, level: str, rater: str, sample: int = SAMPLE) -> DataFrame:
@@ -139,27 +162,21 @@ def feature_counts(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LEVELS, FEATURES))
-        features, scorer = Features(), None if shared.value is None else Scorer(shared.value)
+        reader = Reader(shared.value)
         for batch in batches:
-            at, sizes, shares = [], [], []
             for text, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = sentences(text or "")
-                if not parts:
+                at, sentence, first, pairs = reader.read(text or "")
+                if not len(at):
                     continue
-                own = np.eye(LEVELS)[np.full(len(parts), level - 1)]
-                if scorer is not None:
-                    score = scorer.scores(parts)
-                    own = np.exp(score - score.max(axis=1, keepdims=True)) * np.where(own > 0, 1.0, 0.2)
+                own = np.eye(LEVELS)[np.full(int(sentence[-1]) + 1, level - 1)]
+                if shared.value is not None:
+                    own = softmax(reader.scores(at, sentence, first, pairs)[0]) * np.where(own > 0, 1.0, 0.2)
                     own /= own.sum(axis=1, keepdims=True)
-                shares.append(own)
-                for s in parts:
-                    found = [features[item] for item in (*s, *pairs(s))]
-                    at += found
-                    sizes.append(sum(map(len, found)))
-            if at:
-                at, share = np.concatenate(at), np.repeat(np.concatenate(shares), sizes, axis=0)
+                found = [reader.features[i] for i in at.tolist()]
+                numbers = np.concatenate([*found, np.array([reader.pair_numbers[i] for i in pairs.tolist()], np.int64)])
+                of = np.concatenate([np.repeat(sentence, [len(f) for f in found]), sentence[first]])
                 for k in range(LEVELS):
-                    total[k] += np.bincount(at, share[:, k], FEATURES)
+                    np.add.at(total[k], numbers, own[of, k])
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[k, at]) for k in range(LEVELS))], ["f", "n1", "n2", "n3"])
 
@@ -196,9 +213,9 @@ def distributions(docs: DataFrame, key: str, text: str, weights: np.ndarray) ->
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        reader = Reader(shared.value)
         for batch in batches:
-            rows = [(len(v.split()), scorer.document(v)[1]) if v else (0, np.full(LEVELS, 1 / LEVELS)) for v in batch.column(1).to_pylist()]
+            rows = [(len(v.split()), reader.document(v)) if v else (0, np.full(LEVELS, 1 / LEVELS)) for v in batch.column(1).to_pylist()]
             p = np.array([r[1] for r in rows]).reshape(-1, LEVELS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array(p[:, k], pa.float64()) for k in range(LEVELS))], ["key", "words", "p1", "p2", "p3"])
 

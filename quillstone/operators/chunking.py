@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions import text as T
 
@@ -20,13 +21,13 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 SKIPPED = {"script", "style", "nav", "footer", "header"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(text: pd.Series) -> pd.Series:
     """NFKC."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All entities of HTML."""
     return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))

@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillstone.functions import text as T
 
@@ -120,7 +121,7 @@ def word_overlap(x: Column, y: Column) -> Column:
     return F.coalesce(jaccard(T.words(x), T.words(y)), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(answer, reference):
     """F1 of the longest common subsequence of words (a bit per reference word)."""
     import pandas as pd

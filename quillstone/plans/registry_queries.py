@@ -11,7 +11,6 @@ from quillstone.operators import registry as R
 from quillstone.sources import files
 from quillstone.sources.tables import table
 
-DIGEST = F.lower(F.regexp_extract("file_hash", r"([0-9A-Fa-f]{64})", 1))
 
 
 def registry(spark, root):
@@ -29,7 +28,7 @@ def content_hash(spark, root):
 
 def incremental_plan(spark, root):
     """What the last two batches bring, against the batches before."""
-    rows = registry(spark, root).select("rec_id", "batch_no", "filename", F.nullif(DIGEST, F.lit("")).alias("digest"))
+    rows = registry(spark, root).select("rec_id", "batch_no", "filename", F.nullif(F.lower(F.regexp_extract("file_hash", r"([0-9A-Fa-f]{64})", 1)), F.lit("")).alias("digest"))
     plan = R.plan_ingest(rows.where("batch_no < 7").select("filename", "digest"), rows.where("batch_no >= 7"), "filename", "digest")
     return plan.select("rec_id", "action")
 

@@ -32,6 +32,8 @@ SIMILAR = 0.8
 #: Share of tokens, by kind (around rare words, all), that similar records have in common at
 #: least. A changed word takes five shingles along, and a word put in is often itself rare.
 SHARED = (0.3, 0.35)
+#: Share of the tokens that must be shared which a pair must already share among the rarest.
+DEPTH = 0.15
 #: A rare word is in at most this share of the records; so the frequent words, which are
 #: broadcast, are at most (words a record / RARE): a few thousand at any corpus size.
 RARE = 0.02
@@ -156,31 +158,38 @@ def token_counts(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
 
+def shared_at_least(n: Column, kind: Column, depth: float = 1.0) -> Column:
+    """How many tokens a text of ``n`` tokens of a kind shares with a similar one."""
+    return F.ceil(n * F.when(kind == 0, SHARED[0] * depth).otherwise(SHARED[1] * depth)).cast("int")
+
+
 def prefixes(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(token, rec, n_words, first, last)``: each text's rarest tokens, without those that occur only once.
+    """``(token, rec, kind, n_tokens, n_words, first, last)``: each text's rarest tokens, without those that occur only once.
 
-    Two texts that share at least ``SHARED`` of the tokens of either share one of the
-    n - ceil(SHARED n) + 1 rarest of each; of equal rarity the smaller token comes first.
+    If two texts share s of their tokens, then of the n - s + d rarest of each they share d;
+    of equal rarity the smaller token comes first.
     """
     own = Window.partitionBy("rec", "kind")
-    share = F.when(F.col("kind") == 0, SHARED[0]).otherwise(SHARED[1])
-    length = F.col("n_tokens") - F.ceil(F.col("n_tokens") * share).cast("int") + 1
+    n, kind = F.col("n_tokens"), F.col("kind")
+    length = n - shared_at_least(n, kind) + shared_at_least(n, kind, DEPTH)
     counted = stage(postings(texts).join(counts, "token"), "counted")
     release(texts.sparkSession)
     rare = (
-        counted.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("n_tokens") - F.count("*").over(own))
-        .where(F.col("place") <= length).select("rec", "token")
+        counted.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + n - F.count("*").over(own))
+        .where(F.col("place") <= length).select("rec", "token", "kind", "n_tokens")
     )
     return rare.join(texts.select("rec", "n_words", "first", "last"), "rec")
 
 
 def meetings(probe: DataFrame, index: DataFrame, condition: Column) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of texts sharing a prefix token, of fitting lengths; ``condition`` over columns of x and y."""
+    """Distinct pairs ``(a, b)`` of texts sharing enough prefix tokens, of fitting lengths; ``condition`` over columns of x and y."""
     x, y = probe.alias("x"), index.alias("y")
     long, short = F.greatest("x.n_words", "y.n_words"), F.least("x.n_words", "y.n_words")
     fit = short >= F.ceil(long * SIMILAR)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fit & condition)
-    return met.select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b")).distinct()
+    need = shared_at_least(F.least("x.n_tokens", "y.n_tokens"), F.col("x.kind"), DEPTH)
+    pairs = met.select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b"), F.col("x.kind").alias("kind"), need.alias("need"))
+    return pairs.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b").distinct()
 
 
 @F.pandas_udf(T.DoubleType())

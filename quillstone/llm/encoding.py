@@ -118,6 +118,7 @@ class Model:
         #: Wildcards range over the letters beyond ASCII that the corpus itself uses most.
         self.letters = [c for c, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:48]]
         self.usual = set(self.letters)
+        self.total = math.log(sum(counts.values()) + 1)
 
     def of(self, word: str) -> int:
         return self.counts.get(word.lower(), 0)
@@ -126,7 +127,7 @@ class Model:
         return min((self.of(t) for t in tokens(text)), default=0)
 
     def score(self, text: str) -> float:
-        return sum(math.log(n) if (n := self.of(t)) else -2.0 - len(t) / 2 for t in tokens(text))
+        return sum((math.log(n) if (n := self.of(t)) else -2.0 - len(t) / 2) - self.total for t in tokens(text))
 
 
 def viterbi(text: str, true: str, wrong: str, known: Model, beam: int = 16) -> str:
@@ -153,14 +154,14 @@ def viterbi(text: str, true: str, wrong: str, known: Model, beam: int = 16) -> s
     return max(best[-1], key=lambda p: (known.score(p), p))
 
 
-def restore(span: str, known: Model) -> tuple[str, str] | None:
-    """``(restored, kind)`` of a damaged span, null for a sound one; kind is "sequence", "swap" or "lost".
+def restore(span: str, known: Model) -> tuple[str, str, tuple[str, str]] | None:
+    """``(restored, kind, channel)`` of a damaged span, null for a sound one; kind is "sequence", "swap" or "lost".
 
     A span is damaged if it can be read back to words that the corpus uses more than the
     span as it stands; text that was garbled twice is read back twice.
     """
     if LOST in span:
-        return viterbi(span, "utf-8", "cp1252", known), "lost"
+        return viterbi(span, "utf-8", "cp1252", known), "lost", ("utf-8", "cp1252")
     found = known.of(span)
     best = None
     for true, wrong in CHANNELS:
@@ -172,7 +173,7 @@ def restore(span: str, known: Model) -> tuple[str, str] | None:
                 text = viterbi(span, true, wrong, known)
                 rank = (0, known.least(text), text)
                 if text != span and (best is None or rank > best[0]):
-                    best = rank, text, "swap"
+                    best = rank, text, "swap", (true, wrong)
             continue
         text = span
         for _ in range(3):
@@ -184,8 +185,14 @@ def restore(span: str, known: Model) -> tuple[str, str] | None:
             sound = found < 3 and any(len(t) > 2 and t.isalpha() for t in tokens(text)) and all(c in known.usual for c in text.lower() if c > "\x7f")
             rank = (1, have, text)
             if (have > found or sound) and (best is None or rank > best[0]):
-                best = rank, text, "sequence"
-    return (best[1], best[2]) if best else None
+                best = rank, text, "sequence", (true, wrong)
+    return best[1:] if best else None
+
+
+def follow(span: str, channel: tuple[str, str], known: Model) -> tuple[str, str, tuple[str, str]] | None:
+    """The verdict on a span of a text in which other words prove that single bytes were swapped: here a short word or a sign will do."""
+    text = viterbi(span, *channel, known)
+    return (text, "swap", channel) if text != span and known.least(text) > known.of(span) else None
 
 
 def opened(text: str) -> str:
@@ -250,24 +257,33 @@ def repair(rows: DataFrame, text: str, model: Model | None = None) -> DataFrame:
     schema = T.StructType([*source.schema, T.StructField("restored", T.StringType()), T.StructField("damaged", T.IntegerType()), T.StructField("lost", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, str] | None] = {}
+        known: dict = {}
+
+        def verdict(span: str, channel: tuple[str, str] | None = None):
+            if (span, channel) not in known:
+                if len(known) > FLUSH:
+                    known.clear()
+                known[span, channel] = follow(span, channel, shared.value) if channel else restore(span, shared.value)
+            return known[span, channel]
+
         for batch in batches:
             restored, damaged, lost = [], [], []
             for value in batch.column(at).to_pylist():
                 n = gone = 0
                 if value and not (value.isascii() and "&" not in value):
                     plain = opened(value)
+                    places = list(spans(plain))
+                    verdicts = [verdict(plain[a:b]) for a, b in places]
+                    swaps = Counter(v[2] for v in verdicts if v and v[1] == "swap")
+                    if swaps:
+                        channel = min(swaps, key=lambda c: (-swaps[c], c))
+                        verdicts = [v or verdict(plain[a:b], channel) for v, (a, b) in zip(verdicts, places)]
                     out, last = [], 0
-                    for a, b in spans(plain):
-                        span = plain[a:b]
-                        if span not in known:
-                            if len(known) > FLUSH:
-                                known.clear()
-                            known[span] = restore(span, shared.value)
-                        if verdict := known[span]:
+                    for (a, b), found in zip(places, verdicts):
+                        if found:
                             n += 1
-                            gone += verdict[1] == "lost"
-                            out += [plain[last:a], verdict[0]]
+                            gone += found[1] == "lost"
+                            out += [plain[last:a], found[0]]
                             last = b
                     if n:
                         value = "".join([*out, plain[last:]])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,18 @@ from pyspark.sql import Window
 
 from quillstone.functions.words import words
 from quillstone.plans.broadcasting import broadcast_if_small
-from quillstone.plans.staging import release, stage
+from quillstone.plans.staging import drop, release, stage
 
 SHINGLE = 5
 #: Share of the longer record's words that must be shared.
 SIMILAR = 0.8
-#: Share of tokens, by kind (around rare words, all), that similar records have in common at
-#: least. A changed word takes five shingles along, and a word put in is often itself rare.
-SHARED = (0.3, 0.35)
+#: Share of tokens, by kind (around rare words, all, words of a short text), that similar records
+#: have in common at least. A changed word takes five shingles along, and a word put in is often
+#: itself rare.
+SHARED = (0.3, 0.35, SIMILAR)
+#: Texts of so many words are also indexed by their words, which finds every similar pair of which
+#: one has at most SHORT * SIMILAR words.
+SHORT = 80
 #: Share of the tokens that must be shared which a pair must already share among the rarest.
 DEPTH = 0.15
 #: A rare word is in at most this share of the records; so the frequent words, which are
@@ -42,6 +47,7 @@ RARE = 0.02
 FEW, MANY = 6, 18
 #: Fixed value: SHA-256 of the empty file.
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+KINDS = ("anchored", "whole", "short")
 FLUSH = 500_000
 BUCKETS = 64
 
@@ -98,14 +104,25 @@ def shingles(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def tokens_of(x: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(anchored, all)`` tokens, each empty where the record has none of that kind."""
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Words as a set in which the n-th occurrence of a word is an element of its own."""
+    seen: Counter = Counter()
+    out = []
+    for w in x.tolist():
+        out.append(hash((w, seen[w], 2)))
+        seen[w] += 1
+    return np.unique(np.array(out, np.int64))
+
+
+def tokens_of(x: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchored, all, words)`` tokens, each empty where the record has none of that kind."""
     none = np.zeros(0, np.int64)
     if not len(x):
-        return none, none
+        return none, none, none
+    short = numbered(x) if len(x) <= SHORT else none
     h = shingles(x)
     if len(x) < SHINGLE:
-        return none, np.unique(h) ^ 1
+        return none, np.unique(h) ^ 1, short
     middle = x[SHINGLE // 2 : SHINGLE // 2 + len(h)]
     at = np.searchsorted(frequent, middle)
     rare = np.ones(len(h), bool)
@@ -113,13 +130,13 @@ def tokens_of(x: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rare[inside] = frequent[at[inside]] != middle[inside]
     anchored = np.unique(h[rare])
     whole = np.unique(h) ^ 1 if len(anchored) < MANY else none  # another hash than the anchored ones
-    return (anchored if len(anchored) >= FEW else none), whole
+    return (anchored if len(anchored) >= FEW else none), whole, short
 
 
 def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """``(rec, batch, sign, n_words, anchored, whole)`` of each record with a word; ``sign`` is equal for equal folded texts."""
+    """``(rec, batch, sign, n_words, anchored, whole, short)`` of each record with a word; ``sign`` is equal for equal folded texts."""
     shared = records.sparkSession.sparkContext.broadcast(frequent)
-    schema = "rec long, batch int, sign binary, n_words int, anchored array<bigint>, whole array<bigint>"
+    schema = "rec long, batch int, sign binary, n_words int, anchored array<bigint>, whole array<bigint>, short array<bigint>"
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
@@ -128,20 +145,19 @@ def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for rows in batches:
-            at, sign, size, anchored, whole = [], [], [], [], []
+            at, sign, size, tokens = [], [], [], ([], [], [])
             for i, value in enumerate(rows.column(2).to_pylist()):
                 x = hashes.of(value)
                 if len(x):
-                    a, w = tokens_of(x, shared.value)
+                    for kind, found in zip(tokens, tokens_of(x, shared.value)):
+                        kind.append(found)
                     at.append(i)
                     sign.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     size.append(len(x))
-                    anchored.append(a)
-                    whole.append(w)
             kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(kept), rows.column(1).take(kept), pa.array(sign, pa.binary()), pa.array(size, pa.int32()), lists(anchored), lists(whole)],
-                ["rec", "batch", "sign", "n_words", "anchored", "whole"],
+                [rows.column(0).take(kept), rows.column(1).take(kept), pa.array(sign, pa.binary()), pa.array(size, pa.int32()), *map(lists, tokens)],
+                ["rec", "batch", "sign", "n_words", *KINDS],
             )
 
     return records.select(F.col(f"`{key}`").cast("long"), F.col(f"`{batch}`").cast("int"), F.col(f"`{text}`")).mapInArrow(run, schema)
@@ -149,7 +165,7 @@ def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarr
 
 def postings(texts: DataFrame) -> DataFrame:
     """``(token, rec, kind, n_tokens)``: all tokens of each text."""
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("anchored").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("whole").alias("t"))))
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("t")) for i, c in enumerate(KINDS))))
     return texts.select("rec", kinds.alias("k")).select("rec", "k.kind", F.size("k.t").alias("n_tokens"), F.explode("k.t").alias("token"))
 
 
@@ -160,7 +176,8 @@ def token_counts(posted: DataFrame) -> DataFrame:
 
 def shared_at_least(n: Column, kind: Column, depth: float = 1.0) -> Column:
     """How many tokens a text of ``n`` tokens of a kind shares with a similar one."""
-    return F.ceil(n * F.when(kind == 0, SHARED[0] * depth).otherwise(SHARED[1] * depth)).cast("int")
+    share = F.when(kind == 0, SHARED[0] * depth).when(kind == 1, SHARED[1] * depth).otherwise(SHARED[2] * depth)
+    return F.ceil(F.round(n * share, 6)).cast("int")
 
 
 def prefixes(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -178,14 +195,16 @@ def prefixes(texts: DataFrame, counts: DataFrame) -> DataFrame:
         counted.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + n - F.count("*").over(own))
         .where(F.col("place") <= length).select("rec", "token", "kind", "n_tokens")
     )
-    return rare.join(texts.select("rec", "n_words", "first", "last"), "rec")
+    out = stage(rare.join(texts.select("rec", "n_words", "first", "last"), "rec"), "prefixes")
+    drop(counted)
+    return out
 
 
 def meetings(probe: DataFrame, index: DataFrame, condition: Column) -> DataFrame:
     """Distinct pairs ``(a, b)`` of texts sharing enough prefix tokens, of fitting lengths; ``condition`` over columns of x and y."""
     x, y = probe.alias("x"), index.alias("y")
     long, short = F.greatest("x.n_words", "y.n_words"), F.least("x.n_words", "y.n_words")
-    fit = short >= F.ceil(long * SIMILAR)
+    fit = short >= F.ceil(F.round(long * SIMILAR, 6))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fit & condition)
     need = shared_at_least(F.least("x.n_tokens", "y.n_tokens"), F.col("x.kind"), DEPTH)
     pairs = met.select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b"), F.col("x.kind").alias("kind"), need.alias("need"))
@@ -207,12 +226,15 @@ def shared_words(x, y):
 
 def verify(pairs: DataFrame, texts: DataFrame, content: DataFrame) -> DataFrame:
     """Of the met pairs those that share enough tokens and then enough words; ``content`` is ``(rec, text)``."""
-    sets = texts.select("rec", "anchored", "whole")
-    near = pairs.join(sets.select(F.col("rec").alias("a"), F.col("anchored").alias("aa"), F.col("whole").alias("aw")), "a").join(
-        sets.select(F.col("rec").alias("b"), F.col("anchored").alias("ba"), F.col("whole").alias("bw")), "b"
-    )
-    enough = lambda p, q, share: (F.size(p) > 0) & (F.size(q) > 0) & (F.size(F.array_intersect(p, q)) >= F.ceil(F.greatest(F.size(p), F.size(q)) * share))
-    near = stage(near.where(enough("aa", "ba", SHARED[0]) | enough("aw", "bw", SHARED[1])).select("a", "b"), "near")
+    side = lambda n: texts.select(F.col("rec").alias(n), *(F.col(c).alias(n + c) for c in KINDS))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def enough(c: str, share: float) -> Column:
+        p, q = F.col("a" + c), F.col("b" + c)
+        return (F.size(p) > 0) & (F.size(q) > 0) & (F.size(F.array_intersect(p, q)) >= F.ceil(F.round(F.greatest(F.size(p), F.size(q)) * share, 6)))
+
+    fit = reduce(lambda x, y: x | y, (enough(c, share) for c, share in zip(KINDS, SHARED)))
+    near = stage(near.where(fit).select("a", "b"), "near")
     release(texts.sparkSession)
     wanted = near.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
     read = content.join(broadcast_if_small(wanted), "rec", "left_semi")
@@ -224,7 +246,7 @@ def representatives(read_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, texts)``: ``(rec, batch, rep)`` of each record, and one text per class of equal folded texts."""
     classes = read_texts.groupBy("sign").agg(F.min("rec").alias("rep"), F.min("batch").alias("first"), F.max("batch").alias("last"))
     members = read_texts.select("rec", "batch", "sign").join(classes.select("sign", "rep"), "sign").select("rec", "batch", "rep")
-    texts = read_texts.select("rec", "n_words", "anchored", "whole").join(classes.select(F.col("rep").alias("rec"), "first", "last"), "rec")
+    texts = read_texts.select("rec", "n_words", *KINDS).join(classes.select(F.col("rep").alias("rec"), "first", "last"), "rec")
     return members, texts
 
 
@@ -249,7 +271,8 @@ def class_pairs(texts: DataFrame, content: DataFrame) -> DataFrame:
     """Similar classes ``(a, b)``, unless all records of both came in one batch."""
     counts = stage(token_counts(postings(texts)), "counts")
     release(texts.sparkSession)
-    prefix = stage(prefixes(texts, counts), "prefixes")
+    prefix = prefixes(texts, counts)
+    drop(counts)
     release(texts.sparkSession)
     apart = ~((F.col("x.first") == F.col("x.last")) & (F.col("y.first") == F.col("y.last")) & (F.col("x.first") == F.col("y.first")))
     return verify(meetings(prefix, prefix, (F.col("x.rec") < F.col("y.rec")) & apart), texts, content)
@@ -268,7 +291,8 @@ def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | No
     records = records.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{batch}`").isNotNull())
     base = stage(read(records, key, batch, text, frequent_words(records, text)), "texts")
     members, texts = representatives(base)
-    texts = stage(texts, "classes")
+    members, texts = stage(members, "members"), stage(texts, "classes")
+    drop(base)
     release(records.sparkSession)
     content = records.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text"))
     similar = class_pairs(texts, content)
@@ -322,7 +346,7 @@ class Index:
         """Pairs ``(rec_a, rec_b)`` of an accepted and a new record; then the batch is part of the index."""
         frequent = np.sort(np.array([r.word for r in self._read("frequent").collect()], np.int64))
         base = stage(self._texts(read(batch_rows, key, batch, text, frequent)), "batch")
-        probe = stage(self._prefixes(base), "probe")
+        probe = self._prefixes(base)
         same = F.col("x.bucket") == F.col("y.bucket")
         met = meetings(probe, self._read("postings"), same & (F.col("x.first") != F.col("y.first")))
         content = self._read("content").unionByName(batch_rows.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text")))

@@ -38,6 +38,7 @@ _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
 _PLAIN = {"&lt;", "&gt;", "&amp;", "&quot;"}
 _BEYOND = re.compile(r"[^\x00-\x7f]+(?:[A-Za-z]+[^\x00-\x7f]+)*[A-Za-z]*")
 _BEFORE = re.compile(r"[A-Za-z]*\Z")
+_BEYOND_ONE = re.compile(r"[^\x00-\x7f]")
 _MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*|[^\w\s]+|\S")
 
@@ -115,11 +116,20 @@ class Model:
             for c in set(w):
                 if c > "\x7f" and c.isalpha():
                     weight[c] += n
-        #: Wildcards range over the letters beyond ASCII that the corpus itself uses most.
-        self.letters = [c for c, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:48]]
-        self.usual = set(self.letters)
+        #: The letters beyond ASCII that the corpus itself uses most.
+        self.usual = {c for c, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:48]}
+        self.shapes: dict[str, list[str]] | None = None
         self.total = math.log(sum(counts.values()) + 1)
 
+    def fitting(self, span: str) -> list[str]:
+        """Known words that differ from the span only in letters beyond ASCII: what its lost bytes may have been."""
+        if self.shapes is None:
+            self.shapes = {}
+            for w in self.counts:
+                if LOST not in w:
+                    self.shapes.setdefault(_BEYOND_ONE.sub(LOST, w), []).append(w)
+        return self.shapes.get(_BEYOND_ONE.sub(LOST, span.lower()), [])
+
     def of(self, word: str) -> int:
         return self.counts.get(word.lower(), 0)
 
@@ -142,8 +152,8 @@ def viterbi(text: str, true: str, wrong: str, known: Model, beam: int = 16) -> s
         ways = list(lattice[i])
         if not ways or true != "utf-8":  # a whole sequence isn't left as it stands
             ways.append((i + 1, c))
-        if c == LOST:
-            ways += [(i + 1, r) for r in known.letters]
+        if c == LOST:  # a wildcard: any letter by which the span may become a known word
+            ways += [(i + 1, r) for r in sorted({w[i] for w in known.fitting(text)})]
         states = best[i]
         if len(states) > beam:
             states = sorted(states, key=lambda p: (-known.score(p), p))[:beam]

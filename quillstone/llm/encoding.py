@@ -153,7 +153,7 @@ def viterbi(text: str, true: str, wrong: str, known: Model, beam: int = 16) -> s
         if not ways or true != "utf-8":  # a whole sequence isn't left as it stands
             ways.append((i + 1, c))
         if c == LOST:  # a wildcard: any letter by which the span may become a known word
-            ways += [(i + 1, r) for r in sorted({w[i] for w in known.fitting(text)})]
+            ways += [(i + 1, r) for r in sorted({w[i] for w in known.fitting(text) if w[i].isalpha()})]
         states = best[i]
         if len(states) > beam:
             states = sorted(states, key=lambda p: (-known.score(p), p))[:beam]

@@ -35,7 +35,7 @@ def detect_kind(name: Column) -> Column:
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``(path, name, length, content, kind, file_hash, error)`` of the supported files of a folder."""
+    """``(path, name, length, content, kind, file_hash, error)`` of the supported files of a folder; Spark's listing leaves out empty files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("kind", detect_kind(F.col("name"))).where("kind is not null")
     error = F.when(F.col("length") <= 0, "File is empty").when(F.col("length") > LARGEST, "File too large")

@@ -17,9 +17,8 @@ def text(spark, f, value):
 
 def test_tokens_and_stems(spark):
     assert text(spark, T.tokens, "Über-Test: foo_bar 12") == ["ber", "test", "foo", "bar", "12"]
-    words = ["running", "nation", "cats", "is", "sing", "tested", "quickly"]
-    assert [text(spark, T.stem, w) for w in words] == ["runn", "nat" if False else text(spark, T.stem, "nation"), "cat", "is", "sing", "test", "quick"]
-    assert text(spark, T.stem, "nation") == "nation"[:-3] if "nation".endswith("ing") else text(spark, T.stem, "nation") in ("nation", "na")
+    words = {"running": "runn", "nation": "nation", "cats": "cat", "is": "is", "sing": "sing", "tested": "test", "quickly": "quick", "creation": "crea"}
+    assert {w: text(spark, T.stem, w) for w in words} == words
 
 
 def test_list_sizes():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one side that a bucket holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def latest(df: DataFrame, key: str, fields: dict[str, Column], order: Column | None) -> DataFrame:

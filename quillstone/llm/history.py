@@ -216,9 +216,12 @@ def shared_words(x, y):
     """Words in common (as often as in both) as a share of the longer text's words."""
     import pandas as pd
 
-    out = []
+    out, bags = [], {}  # a text that is in several pairs of the batch is read once
     for a, b in zip(x, y):
-        a, b = Counter(words(a)), Counter(words(b))
+        for text in (a, b):
+            if text not in bags:
+                bags[text] = Counter(words(text))
+        a, b = bags[a], bags[b]
         most = max(a.total(), b.total())
         out.append((a & b).total() / most if most else 0.0)
     return pd.Series(out, dtype="float64")

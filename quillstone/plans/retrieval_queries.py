@@ -214,6 +214,7 @@ def vector_sql(k: int, name: str = "vec", condition: str = "true", threshold: st
 {name} AS (SELECT * FROM {name}_r WHERE {threshold})"""
 
 
+SPLIT = "list_distinct(list_filter(string_split_regex(lower({}), '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda x: x != ''))"
 TITLES = "titles AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 20 = 0)"
 CASES = "cases AS (SELECT id AS query_id, query, category, expected_answer FROM eval_cases)"
 LISTS = f"{TITLES}, {bm25_sql('titles', k=20)}, {vector_sql(20)}, lists AS (SELECT query_id, 'bm25' AS retriever, id, score, rank FROM bm25 UNION ALL SELECT query_id, 'vector', id, score, rank FROM vec)"
@@ -246,6 +247,9 @@ SQL = {
     "variant_merge": f"""WITH {CASES}, cleaned AS (SELECT query_id, query, trim(regexp_replace(query, '[?.!]+$', '')) AS c FROM cases),
         variants AS (SELECT query_id || '#0' AS query_id, query FROM cleaned WHERE query != '' UNION ALL SELECT query_id || '#1', 'What is ' || c || '?' FROM cleaned UNION ALL SELECT query_id || '#2', 'How does ' || c || ' work?' FROM cleaned),
         {bm25_sql('variants')} {RANKED} (SELECT split_part(query_id, '#', 1) AS query_id, id, max(score) AS score FROM bm25 GROUP BY ALL) QUALIFY rank <= 10""",
+    "rerank_lexical": f"""WITH {CASES}, {bm25_sql('cases', k=20)},
+        s AS (SELECT query_id, id, rank, query, {SPLIT.format('query')} AS a, {SPLIT.format('text')} AS b FROM bm25 JOIN cases USING (query_id) JOIN documents ON doc_id = id)
+        {RANKED} (SELECT query_id, id, CASE WHEN coalesce(query, '') = '' THEN -rank::DOUBLE ELSE coalesce(round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6), 0.0::DOUBLE) END AS score FROM s) QUALIFY rank <= 5""",
     "enrich": f"WITH {CASES}, {bm25_sql('cases', k=5)} SELECT query_id, rank, id, title, coalesce(source, 'unknown') AS source, lang FROM bm25 LEFT JOIN documents ON doc_id = id",
     "ir_metrics": f"WITH {METRICS} SELECT * EXCLUDE (query) FROM metrics",
     "ir_metrics_mean": f"WITH {METRICS} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in E.COLUMNS)} FROM metrics",

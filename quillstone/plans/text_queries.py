@@ -189,7 +189,19 @@ PAIRS = f"""answers AS (SELECT id AS query_id, expected_answer AS query FROM eva
 _GRAMS = lambda x, n: f"SELECT query_id, g, count(*) AS c FROM (SELECT query_id, unnest(list_transform(generate_series(1, len({x}) - {n - 1}), lambda i: array_to_string({x}[i : i + {n - 1}], ' '))) AS g FROM worded WHERE len({x}) >= {n}) GROUP BY ALL"
 NAMES = f"list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}') AND lower(w) NOT IN ({', '.join(repr(w) for w in T.STEP_BACK_STOPWORDS)}))[1:5]"
 
+SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
+STRIPPED = lambda x: f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+SENTENCES = lambda x: f"list_filter(list_transform(string_split(regexp_replace({STRIPPED(x)}, '([.!?]){SPACE}', '\\1' || chr(57344), 'g'), chr(57344)), lambda s: {STRIPPED('s')}), lambda s: s != '')"
+MEANING = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in T.CONTENT_STOPWORDS)})))"
+
 SQL = {
+    "clean_controls": CLEANED.format(f"regexp_replace({MESSY}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{{Cf}}\\p{{Co}}]', '', 'g')"),
+    "sentence_split": f"SELECT id, (unnest(generate_series(1, len(s))) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT doc_id AS id, {SENTENCES('text')} AS s FROM documents WHERE text IS NOT NULL)",
+    "citations": f"SELECT id, '[' || i || ']' AS marker, d[i] AS source, left(d[i], 200) AS snippet FROM (SELECT id, expected_documents AS d, unnest(generate_series(1, len({SENTENCES('expected_answer')}))) AS i FROM eval_cases WHERE expected_answer IS NOT NULL)",
+    "hallucination_rate": f"""WITH {PAIRS}, w AS (SELECT query_id, {SENTENCES('answer')} AS s, {MEANING('reference')} AS known FROM pairs),
+        o AS (SELECT query_id, known, {MEANING('sentence')} AS own FROM (SELECT query_id, known, unnest(s) AS sentence FROM w)),
+        b AS (SELECT query_id, count(*) AS n, count(*) FILTER (len(own) > 0 AND len(list_filter(own, lambda x: NOT list_contains(known, x))) > len(own) * 0.5) AS bad FROM o GROUP BY query_id)
+        SELECT query_id, coalesce(round(bad / n, 6), 0.0::DOUBLE) AS rate FROM pairs LEFT JOIN b USING (query_id)""",
     "clean_whitespace": CLEANED.format(f"regexp_replace(regexp_replace(regexp_replace({MESSY}, '[\\t\\x0b\\f\\r ]+', ' ', 'g'), ' \\n', chr(10), 'g'), ' $', '')"),
     "clean_blank_lines": CLEANED.format(BLANKS),
     "clean_page_artifacts": CLEANED.format(f"regexp_replace(regexp_replace({MESSY}, '({WD})-\\n({WD})', '\\1\\2', 'g'), '({WD})\\n([a-z])', '\\1\\2', 'g')"),

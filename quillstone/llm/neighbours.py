@@ -4,6 +4,10 @@ Each curve is a Hilbert ordering of a randomly rotated, projected and shifted co
 of the vectors, range-partitioned and sorted by Spark. Similar vectors lie close to
 each other on at least some of the curves, so each row is compared with the rows in
 a window after it on every curve; the best of all curves are merged per row.
+
+Distant nearest neighbours are hardly ever close on a curve. For those each vector goes
+to several cells around centroids instead, is compared with all vectors of its cells,
+and the best of all cells are merged per row.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.plans.staging import stage
+from quillstone.plans.grouping import groups
+from quillstone.plans.staging import drop, release, stage
 
 DIMENSIONS = 48
 #: Slack of the coarse (8-bit) cosine against the exact one.
@@ -24,6 +29,8 @@ SLACK = 0.01
 #: Curves, dimensions and bits of a curve's grid, rows compared after each row on a curve.
 CURVES, AXES, BITS, WINDOW = 8, 10, 6, 16
 SEED = 20_240_108
+#: Cells each vector goes to, vectors a cell to fit centroids on, rounds of fitting, rows compared with a cell at a time.
+COPIES, FIT, ROUNDS, ROWS = 6, 20, 6, 512
 
 
 def usable(vector: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -149,6 +156,99 @@ def candidates(placed: DataFrame, k: int, least: float, window: int) -> DataFram
     return lined.select("curve", "uid", "code").mapInArrow(run, "a long, b long").distinct()
 
 
+def fine(unit: np.ndarray) -> np.ndarray:
+    """Unit vectors as 16-bit integers, scaled by their largest entry."""
+    top = np.abs(unit).max(axis=1, keepdims=True)
+    return np.rint(unit / top * 32767).astype(np.int16)
+
+
+def centroids(base: DataFrame) -> np.ndarray:
+    """Spherical k-means, about the square root of the number of vectors as cells, on the vectors of the smallest key hashes."""
+    cells = int(np.ceil(np.sqrt(base.count())))
+    taken = base.orderBy(F.xxhash64("key"), "key").limit(cells * FIT).select("unit").toArrow().column("unit").combine_chunks()
+    x = _matrix(taken, DIMENSIONS).astype(np.float32)
+    at = x[:cells].copy()
+    for _ in range(ROUNDS if len(x) else 0):
+        own = (x @ at.T).argmax(axis=1)
+        total = np.zeros_like(at)
+        np.add.at(total, own, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        at = np.where(size > 0, total / np.where(size > 0, size, 1), at)
+    return at
+
+
+def _best(x: np.ndarray, rows: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the ``k`` most similar rows of ``x`` to each of ``rows``, itself left out."""
+    own = np.arange(rows.start, min(rows.stop, len(x)))
+    s = x[own] @ x.T
+    s[np.arange(len(own)), own] = -2
+    k = min(k, len(x) - 1)
+    parts = 16
+    if len(x) >= 4 * parts * k:  # the k best lie in the k parts with the greatest maxima
+        width = -(-len(x) // parts)
+        s = np.pad(s, ((0, 0), (0, parts * width - len(x))), constant_values=-2)
+        top = np.argpartition(-s.reshape(len(own), parts, width).max(axis=1), k - 1, axis=1)[:, :k]
+        place = (top[:, :, None] + width * np.arange(parts)).reshape(len(own), -1)
+    else:
+        place = np.broadcast_to(np.arange(len(x)), s.shape)
+    near = np.take_along_axis(s, place, 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(place, best, 1), np.take_along_axis(near, best, 1)
+
+
+def cell_pairs(base: DataFrame, k: int, copies: int) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, of which one is among the ``k`` most similar of the other in the cells they share."""
+    shared = base.sparkSession.sparkContext.broadcast(centroids(base))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        n = min(copies, len(at))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _matrix(batch.column(1), DIMENSIONS)
+            code = _bytes(fine(unit).view(np.uint8).reshape(len(unit), -1))
+            cell = np.argpartition(-(unit @ at.T), n - 1, axis=1)[:, :n].astype(np.int32)
+            for c in cell.T:
+                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0), code], ["cell", "uid", "code"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            number, uids = table.column(0).to_numpy(), table.column(1).to_numpy()
+            code = np.frombuffer(b"".join(table.column(2).to_pylist()), np.int16).reshape(-1, DIMENSIONS)
+            ends = [*np.flatnonzero(np.diff(number)) + 1, len(number)]
+            for start, end in zip([0, *ends], ends):
+                uid, x = uids[start:end], code[start:end].astype(np.float32)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for i in range(0, len(uid) if len(uid) > 1 else 0, ROWS):
+                    place, near = _best(x, slice(i, i + ROWS), k)
+                    ends_of = pa.array(np.arange(len(place) + 1, dtype=np.int32) * place.shape[1])
+                    lists = (pa.ListArray.from_arrays(ends_of, pa.array(v.ravel())) for v in (uid[place], near))
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[i : i + ROWS]), *lists], ["a", "b", "near"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            b, near = (table.column(c).combine_chunks() for c in (1, 2))
+            a = np.repeat(table.column(0).to_numpy(), np.diff(b.offsets.to_numpy()))
+            b, near = b.flatten().to_numpy(), near.flatten().to_numpy()
+            order = np.lexsort((-near, b, a))
+            order = order[np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))]
+            order = order[np.lexsort((b[order], -near[order], a[order]))]
+            first = np.concatenate(([0], np.flatnonzero(np.diff(a[order])) + 1))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))
+            order = order[rank < k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[order], b[order])), pa.array(np.maximum(a[order], b[order]))], ["a", "b"])
+
+    placed = base.select("uid", "unit").mapInArrow(assign, "cell int, uid long, code binary")
+    met = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b array<bigint>, near array<float>")
+    met = stage(met, "met")
+    release(base.sparkSession)
+    pairs = stage(met.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long").distinct(), "pairs")
+    drop(met)
+    release(base.sparkSession)
+    return pairs
+
+
 @F.pandas_udf(T.DoubleType())
 def _cosine(x, y):
     import pandas as pd
@@ -169,7 +269,7 @@ def _unit(x):
 
 def neighbours(
     vectors: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5, least: float = 0.0,
-    curves: int = CURVES, window: int = WINDOW, order: Column | None = None,
+    curves: int = CURVES, window: int = WINDOW, order: Column | None = None, copies: int = 0,
 ) -> DataFrame:
     """Rows ``(key, rank, neighbour, cosine)``: up to ``k`` others of at least cosine ``least``.
 
@@ -178,7 +278,9 @@ def neighbours(
     neither queries nor neighbours; the norm does not matter. Equal cosines are ranked by key.
     Equal vectors under different keys are ordinary neighbours. The result is approximate: a
     pair is found if it meets in a window of at least one curve, surely for equal vectors
-    unless more than ``window`` rows share a place; every cosine given is exact.
+    unless more than ``window`` rows share a place; every cosine given is exact. With
+    ``copies`` cells are searched instead of curves, each vector in so many: a pair is found
+    if it shares one, which distant nearest neighbours do too.
     """
     column = F.col(f"`{vector}`").cast("array<float>")
     one = (
@@ -189,7 +291,7 @@ def neighbours(
         .where(usable(F.col("v")))
     )
     base = stage(one.select(F.monotonically_increasing_id().alias("uid"), "key", _unit("v").alias("unit")), "vectors")
-    pairs = candidates(places(base, curves), k + 3, least - SLACK, window)
+    pairs = cell_pairs(base, k, copies) if copies else candidates(places(base, curves), k + 3, least - SLACK, window)
     unit = base.select("uid", "unit")
     met = (
         pairs.join(unit.select(F.col("uid").alias("a"), F.col("unit").alias("x")), "a")
@@ -197,6 +299,10 @@ def neighbours(
         .select("a", "b", _cosine("x", "y").alias("cosine"))
         .where(F.col("cosine") >= least)
     )
+    if copies:  # the vectors' shuffle files go before the ranking writes its own
+        met = stage(met, "cosines")
+        drop(pairs)
+        release(base.sparkSession)
     both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "cosine").select("p.*", "cosine")
     names = base.select("uid", "key")
     named = both.join(names.select(F.col("uid").alias("b"), F.col("key").alias("neighbour")), "b").groupBy("a").agg(
@@ -210,9 +316,9 @@ def neighbours(
 
 
 def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """Near neighbours (cosine of at least 0.9) of each usable chunk embedding."""
+    """The nearest neighbours of each usable chunk embedding, however distant."""
     index = spark.read.parquet(f"{root}/index_chunks.parquet").select("id", "embedding", "created_at")
-    return neighbours(index, k=5, least=0.9, order=F.col("created_at").try_cast("timestamp"))
+    return neighbours(index, k=5, least=-2, order=F.col("created_at").try_cast("timestamp"), copies=COPIES)  # below any cosine
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

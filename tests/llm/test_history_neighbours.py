@@ -95,3 +95,22 @@ def test_equal_vectors(spark):
     table = spark.range(8).select(F.col("id").cast("string").alias("id"), F.array([F.lit(1.0)] * 48).alias("embedding"))
     got = N.neighbours(table, k=5, least=0.99).collect()
     assert Counter(r.id for r in got) == {str(i): 5 for i in range(8)}
+
+
+def test_p6_neighbours_has_distant_ones_of_every_vector(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((1500, 48)) * np.linspace(3, 0.5, 48)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert np.median(s.max(axis=1)) < 0.8
+    root = tempfile.mkdtemp(prefix="spark-")
+    rows = [(f"k{i:04}", [float(x) for x in r], "2024-01-01T00:00:00") for i, r in enumerate(v)]
+    spark.createDataFrame(rows, "id string, embedding array<float>, created_at string").write.parquet(f"{root}/index_chunks.parquet")
+    got = N.p6_neighbours(spark, root).collect()
+    assert Counter(Counter(r.id for r in got).values()) == {5: 1500}
+    want = {(f"k{i:04}", f"k{j:04}") for i in range(1500) for j in np.argsort(-s[i])[:5]}
+    assert len({(r.id, r.neighbour) for r in got} & want) >= 0.9 * len(want)
+    two = [(i, [x] + [0.0] * 47, "") for i, x in (("p", 1.0), ("m", -1.0))]
+    assert N.neighbours(spark.createDataFrame(two, "id string, embedding array<float>, t string"), least=-2, copies=6).count() == 2
+    assert N.neighbours(spark.createDataFrame(two[:0], "id string, embedding array<float>, t string"), least=-2, copies=6).count() == 0

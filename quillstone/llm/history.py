@@ -1,12 +1,11 @@
 """Holding new batches against all accepted history.
 
-An inverted index of rare-token prefixes, kept by token. A token is a five-word
-shingle around a rare word (a word in at most ``RARE`` of the records); records with
-few rare words also give all their shingles. Of its tokens a record indexes only the
-rarest, as many as a similar record can't avoid sharing; probing joins prefixes on
-the token, filters by length, verifies the overlap of all tokens and then of all
-words, and appends the batch's postings. Accepted texts are never read again except
-those of surviving candidates.
+An exact prefix join over words. The words of a record are ordered from the corpus's
+rarest to its most frequent; records that share enough of all their words can't avoid
+sharing some of the rarest. Records of like length meet in one task, which counts the
+shared rare words by an inverted index, then all words by short hashes; what is left is
+verified on the texts. No pair is lost before that: each step bounds what is shared from
+above. Accepted texts are never read again except those of surviving candidates.
 """
 
 from __future__ import annotations
@@ -14,42 +13,30 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from quillstone.functions.words import words
 from quillstone.plans.broadcasting import broadcast_if_small
+from quillstone.plans.grouping import groups
 from quillstone.plans.staging import drop, release, stage
 
-SHINGLE = 5
 #: Share of the longer record's words that must be shared.
 SIMILAR = 0.8
-#: Share of tokens, by kind (around rare words, all, words of a short text), that similar records
-#: have in common at least. A changed word takes five shingles along, and a word put in is often
-#: itself rare.
-SHARED = (0.3, 0.35, SIMILAR)
-#: Texts of so many words are also indexed by their words, which finds every similar pair of which
-#: one has at most SHORT * SIMILAR words.
-SHORT = 80
-#: Share of the tokens that must be shared which a pair must already share among the rarest.
-DEPTH = 0.15
-#: A rare word is in at most this share of the records; so the frequent words, which are
-#: broadcast, are at most (words a record / RARE): a few thousand at any corpus size.
-RARE = 0.02
-#: Records with fewer rare places than FEW have only "all" tokens, those with fewer than MANY
-#: have both kinds; counts of similar records differ by less, so they have a kind in common.
-FEW, MANY = 6, 18
+#: Share of the words that must be shared which a pair must already share among the rarest.
+DEPTH = 0.06
+#: Words in at most this share of the records are all alike in the order; so the frequent words,
+#: which are broadcast, are at most (words a record / RARE) at any corpus size.
+RARE = 0.002
+#: Records of a band of lengths that one task compares with as many.
+BLOCK = 20_000
 #: Fixed value: SHA-256 of the empty file.
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-KINDS = ("anchored", "whole", "short")
 FLUSH = 500_000
-BUCKETS = 64
 
 
 class Hashes(dict):
@@ -87,128 +74,148 @@ def word_counts(records: DataFrame, text: str) -> DataFrame:
 
 
 def frequent_words(records: DataFrame, text: str, rare: float = RARE) -> np.ndarray:
-    """Hashes of the words in more than ``rare`` of the non-blank records: at most words a record / rare of them."""
+    """Hashes (ascending) and record counts of the words in more than ``rare`` of the non-blank records: at most words a record / rare of them."""
     total = records.where(F.col(f"`{text}`").rlike(r"\S")).count()
-    rows = word_counts(records, text).where(F.col("n") > F.lit(rare * total)).select("word").collect()
-    return np.sort(np.array([r.word for r in rows], np.int64))
+    rows = word_counts(records, text).where(F.col("n") > F.lit(rare * total)).toArrow()
+    found = np.stack([rows.column(c).to_numpy() for c in ("word", "n")])
+    return found[:, np.argsort(found[0])]
 
 
-def shingles(x: np.ndarray) -> np.ndarray:
-    """Rolling polynomial hashes of ``SHINGLE`` words; of the whole text if it is shorter."""
-    k = min(SHINGLE, len(x))
-    n = len(x) - k + 1
-    h = np.zeros(n, np.int64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            h = h * np.int64(6364136223846793005) + x[j : n + j]
-    return h
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many words a record of ``n`` words shares with a similar one that isn't longer."""
+    return np.ceil(np.round(n * SIMILAR, 6)).astype(np.int64)
 
 
-def numbered(x: np.ndarray) -> np.ndarray:
-    """Words as a set in which the n-th occurrence of a word is an element of its own."""
-    seen: Counter = Counter()
-    out = []
-    for w in x.tolist():
-        out.append(hash((w, seen[w], 2)))
-        seen[w] += 1
-    return np.unique(np.array(out, np.int64))
+def depth(n: np.ndarray) -> np.ndarray:
+    """How many of the rarest words a pair shares whose shorter record has ``n`` words."""
+    return np.ceil(np.round(least_shared(n) * DEPTH, 6)).astype(np.int64)
 
 
-def tokens_of(x: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchored, all, words)`` tokens, each empty where the record has none of that kind."""
-    none = np.zeros(0, np.int64)
-    if not len(x):
-        return none, none, none
-    short = numbered(x) if len(x) <= SHORT else none
-    h = shingles(x)
-    if len(x) < SHINGLE:
-        return none, np.unique(h) ^ 1, short
-    middle = x[SHINGLE // 2 : SHINGLE // 2 + len(h)]
-    at = np.searchsorted(frequent, middle)
-    rare = np.ones(len(h), bool)
-    inside = at < len(frequent)
-    rare[inside] = frequent[at[inside]] != middle[inside]
-    anchored = np.unique(h[rare])
-    whole = np.unique(h) ^ 1 if len(anchored) < MANY else none  # another hash than the anchored ones
-    return (anchored if len(anchored) >= FEW else none), whole, short
+def signature(x: np.ndarray, frequent: np.ndarray) -> tuple[bytes, bytes]:
+    """``(prefix, bag)``: 32-bit hashes of the rarest words and 16-bit hashes of all; the n-th occurrence of a word counts as a word of its own.
+
+    If two records share s of their words, then of the n - s + d rarest of each they share d.
+    """
+    w = np.sort(x)
+    turn = np.arange(len(w)) - np.searchsorted(w, w)
+    with np.errstate(over="ignore"):
+        token = w + turn * np.int64(6364136223846793005)
+    at = np.searchsorted(frequent[0], w).clip(0, max(0, frequent.shape[1] - 1))
+    n = np.where(frequent[0][at] == w, frequent[1][at], 0) if frequent.shape[1] else np.zeros(len(w), np.int64)
+    size = np.int64(len(w))
+    rarest = np.lexsort((token, n))[: size - least_shared(size) + depth(size)]
+    return (token[rarest] >> 32).astype(np.int32).tobytes(), token.astype(np.uint16).tobytes()
 
 
 def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """``(rec, batch, sign, n_words, anchored, whole, short)`` of each record with a word; ``sign`` is equal for equal folded texts."""
+    """``(rec, batch, sign, n_words, prefix, bag)`` of each record with a word; ``sign`` is equal for equal folded texts."""
     shared = records.sparkSession.sparkContext.broadcast(frequent)
-    schema = "rec long, batch int, sign binary, n_words int, anchored array<bigint>, whole array<bigint>, short array<bigint>"
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for rows in batches:
-            at, sign, size, tokens = [], [], [], ([], [], [])
+            at, sign, size, prefix, bag = [], [], [], [], []
             for i, value in enumerate(rows.column(2).to_pylist()):
                 x = hashes.of(value)
                 if len(x):
-                    for kind, found in zip(tokens, tokens_of(x, shared.value)):
-                        kind.append(found)
+                    rarest, every = signature(x, shared.value)
+                    prefix.append(rarest)
+                    bag.append(every)
                     at.append(i)
                     sign.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     size.append(len(x))
             kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(kept), rows.column(1).take(kept), pa.array(sign, pa.binary()), pa.array(size, pa.int32()), *map(lists, tokens)],
-                ["rec", "batch", "sign", "n_words", *KINDS],
+                [rows.column(0).take(kept), rows.column(1).take(kept), pa.array(sign, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bag, pa.binary())],
+                ["rec", "batch", "sign", "n_words", "prefix", "bag"],
             )
 
-    return records.select(F.col(f"`{key}`").cast("long"), F.col(f"`{batch}`").cast("int"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return records.select(F.col(f"`{key}`").cast("long"), F.col(f"`{batch}`").cast("int"), F.col(f"`{text}`")).mapInArrow(run, "rec long, batch int, sign binary, n_words int, prefix binary, bag binary")
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """``(token, rec, kind, n_tokens)``: all tokens of each text."""
-    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("t")) for i, c in enumerate(KINDS))))
-    return texts.select("rec", kinds.alias("k")).select("rec", "k.kind", F.size("k.t").alias("n_tokens"), F.explode("k.t").alias("token"))
+def band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(1 / SIMILAR))).cast("int")
 
 
-def token_counts(posted: DataFrame) -> DataFrame:
-    """``(token, df)`` of the tokens that occur more than once."""
-    return posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+def placed(texts: DataFrame) -> DataFrame:
+    """``texts`` with the ``cell`` in which they are compared, as ``probe`` (the longer of a pair), ``target`` or both.
 
+    A record is the longer one in its own band of lengths, the shorter one there and in the
+    bands of records longer by up to the similar share. The records of a band of more than
+    BLOCK are cut into parts, and each pair of parts is a cell.
+    """
+    sizes = {r.band: r.n for r in texts.groupBy(band(F.col("n_words")).alias("band")).agg(F.count("*").alias("n")).collect()}
+    last = max(sizes, default=0)
+    parts = F.array(*(F.lit(max(1, -(-sizes.get(b, 0) // BLOCK))) for b in range(last + 1)))
+    n = F.col("n_words")
+    rows = texts.withColumn("own", band(n)).withColumn("band", F.explode(F.sequence("own", F.least(band(n / SIMILAR + 1), F.lit(last)))))
+    rows = rows.withColumn("parts", parts[F.col("band")]).withColumn("part", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int"))
+    home, part, every = F.col("own") == F.col("band"), F.col("part"), F.sequence(F.lit(0), F.col("parts") - 1)
+
+    def place(i: Column, j: Column, probe: Column, target: bool) -> Column:
+        cell = (F.col("band").cast("long") * (1 << 20) + i) * (1 << 20) + j
+        return F.struct(cell.alias("cell"), probe.alias("probe"), F.lit(target).alias("target"))
+
+    targets = F.transform(every, lambda t: place(t, part, home & (t == part), True))
+    probes = F.transform(F.filter(every, lambda t: home & (t != part)), lambda t: place(part, t, F.lit(True), False))
+    return rows.withColumn("p", F.explode(F.concat(targets, probes))).select("p.cell", "p.probe", "p.target", "rec", "n_words", "side", "first", "last", "prefix", "bag")
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+
+
+def _compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of records of a cell that may be similar."""
+    rec, n = table.column("rec").to_numpy(), table.column("n_words").to_numpy().astype(np.int64)
+    order = np.lexsort((rec, n))
+    table, rec, n = table.take(pa.array(order)), rec[order], n[order]
+    probe, target, side, first, last = (table.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "target", "side", "first", "last"))
+    prefixes, bags = table.column("prefix").to_pylist(), table.column("bag").to_pylist()
+    _, token = np.unique(np.frombuffer(b"".join(prefixes), np.int32), return_inverse=True)
+    ends = np.cumsum([0, *(len(p) // 4 for p in prefixes)])
+    bag, bag_at = np.frombuffer(b"".join(bags), np.uint16), np.cumsum([0, *(len(b) // 2 for b in bags)])
+    m = len(rec)
+    owner = np.repeat(np.arange(m), np.diff(ends))
+    sides, count = np.unique(side[side >= 0], return_counts=True)
+    common = sides[count.argmax()] if len(sides) else -2
+    # records of the commonest side are held against those of other sides only
+    postings = [np.sort((token * m + owner)[keep[owner]]) for keep in (target, target & (side != common))]
+    lowest, deep, least = np.searchsorted(n, least_shared(n)), depth(n), least_shared(n)
+    holds = np.zeros(1 << 16, bool)
+    a, b = [], []
+    for x in np.flatnonzero(probe).tolist():
+        low = lowest[x]
+        if low >= x:
+            continue
+        post, own = postings[int(side[x] == common)], token[ends[x] : ends[x + 1]] * m
+        met = post[_ranges(np.searchsorted(post, own + low), np.searchsorted(post, own + x))] % m - low
+        y = low + np.flatnonzero(np.bincount(met, minlength=x - low) >= deep[low:x])
+        y = y[((side[y] != side[x]) | (side[x] < 0)) & ((first[y] != last[y]) | (first[x] != last[x]) | (first[x] != first[y]))]
+        if len(y):
+            holds[bag[bag_at[x] : bag_at[x + 1]]] = True
+            found = holds[bag[_ranges(bag_at[y], bag_at[y + 1])]]
+            holds[bag[bag_at[x] : bag_at[x + 1]]] = False
+            y = y[np.add.reduceat(found, np.cumsum(n[y]) - n[y], dtype=np.int64) >= least[x]]
+            a.append(np.minimum(rec[x], rec[y]))
+            b.append(np.maximum(rec[x], rec[y]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
-def shared_at_least(n: Column, kind: Column, depth: float = 1.0) -> Column:
-    """How many tokens a text of ``n`` tokens of a kind shares with a similar one."""
-    share = F.when(kind == 0, SHARED[0] * depth).when(kind == 1, SHARED[1] * depth).otherwise(SHARED[2] * depth)
-    return F.ceil(F.round(n * share, 6)).cast("int")
 
+def meetings(texts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that may be similar, of different ``side`` (below 0: any) and not all of one batch."""
 
-def prefixes(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(token, rec, kind, n_tokens, n_words, first, last)``: each text's rarest tokens, without those that occur only once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            cell = table.column("cell").to_numpy()
+            ends = [*np.flatnonzero(np.diff(cell)) + 1, len(cell)]
+            for start, end in zip([0, *ends], ends):
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in _compare(table.slice(start, end - start))], ["a", "b"])
 
-    If two texts share s of their tokens, then of the n - s + d rarest of each they share d;
-    of equal rarity the smaller token comes first.
-    """
-    own = Window.partitionBy("rec", "kind")
-    n, kind = F.col("n_tokens"), F.col("kind")
-    length = n - shared_at_least(n, kind) + shared_at_least(n, kind, DEPTH)
-    counted = stage(postings(texts).join(counts, "token"), "counted")
-    release(texts.sparkSession)
-    rare = (
-        counted.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + n - F.count("*").over(own))
-        .where(F.col("place") <= length).select("rec", "token", "kind", "n_tokens")
-    )
-    out = stage(rare.join(texts.select("rec", "n_words", "first", "last"), "rec"), "prefixes")
-    drop(counted)
-    return out
-
-
-def meetings(probe: DataFrame, index: DataFrame, condition: Column) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of texts sharing enough prefix tokens, of fitting lengths; ``condition`` over columns of x and y."""
-    x, y = probe.alias("x"), index.alias("y")
-    long, short = F.greatest("x.n_words", "y.n_words"), F.least("x.n_words", "y.n_words")
-    fit = short >= F.ceil(F.round(long * SIMILAR, 6))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & fit & condition)
-    need = shared_at_least(F.least("x.n_tokens", "y.n_tokens"), F.col("x.kind"), DEPTH)
-    pairs = met.select(F.least("x.rec", "y.rec").alias("a"), F.greatest("x.rec", "y.rec").alias("b"), F.col("x.kind").alias("kind"), need.alias("need"))
-    return pairs.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b").distinct()
+    return placed(texts).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -227,18 +234,10 @@ def shared_words(x, y):
     return pd.Series(out, dtype="float64")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, content: DataFrame) -> DataFrame:
-    """Of the met pairs those that share enough tokens and then enough words; ``content`` is ``(rec, text)``."""
-    side = lambda n: texts.select(F.col("rec").alias(n), *(F.col(c).alias(n + c) for c in KINDS))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def enough(c: str, share: float) -> Column:
-        p, q = F.col("a" + c), F.col("b" + c)
-        return (F.size(p) > 0) & (F.size(q) > 0) & (F.size(F.array_intersect(p, q)) >= F.ceil(F.round(F.greatest(F.size(p), F.size(q)) * share, 6)))
-
-    fit = reduce(lambda x, y: x | y, (enough(c, share) for c, share in zip(KINDS, SHARED)))
-    near = stage(near.where(fit).select("a", "b"), "near")
-    release(texts.sparkSession)
+def verify(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """Of the met pairs those that share enough words; ``content`` is ``(rec, text)``."""
+    near = stage(pairs, "near")
+    release(content.sparkSession)
     wanted = near.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
     read = content.join(broadcast_if_small(wanted), "rec", "left_semi")
     both = near.join(read.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
@@ -249,7 +248,7 @@ def representatives(read_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, texts)``: ``(rec, batch, rep)`` of each record, and one text per class of equal folded texts."""
     classes = read_texts.groupBy("sign").agg(F.min("rec").alias("rep"), F.min("batch").alias("first"), F.max("batch").alias("last"))
     members = read_texts.select("rec", "batch", "sign").join(classes.select("sign", "rep"), "sign").select("rec", "batch", "rep")
-    texts = read_texts.select("rec", "n_words", *KINDS).join(classes.select(F.col("rep").alias("rec"), "first", "last"), "rec")
+    texts = read_texts.select("rec", "n_words", "prefix", "bag").join(classes.select(F.col("rep").alias("rec"), "first", "last"), "rec")
     return members, texts
 
 
@@ -272,19 +271,13 @@ def same_file(records: DataFrame, key: str, batch: str, text: str, digest: str)
 
 def class_pairs(texts: DataFrame, content: DataFrame) -> DataFrame:
     """Similar classes ``(a, b)``, unless all records of both came in one batch."""
-    counts = stage(token_counts(postings(texts)), "counts")
-    release(texts.sparkSession)
-    prefix = prefixes(texts, counts)
-    drop(counts)
-    release(texts.sparkSession)
-    apart = ~((F.col("x.first") == F.col("x.last")) & (F.col("y.first") == F.col("y.last")) & (F.col("x.first") == F.col("y.first")))
-    return verify(meetings(prefix, prefix, (F.col("x.rec") < F.col("y.rec")) & apart), texts, content)
+    return verify(meetings(texts.withColumn("side", F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(-1))), content)
 
 
 def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
     """Pairs ``(rec_a, rec_b)`` that come out when the batches arrive one after the other, rec_a in the earlier one.
 
-    The probes of all batches run as one join of prefixes, which gives what ``Index.accept``
+    The probes of all batches run as one join, which gives what ``Index.accept``
     gives batch by batch. Equal folded texts are one class with one set of postings, so a
     group of copies of any size is searched once. Null, empty and blank texts (no letter or
     digit) have no words and meet nothing; with ``digest`` a null text is matched by file
@@ -311,10 +304,10 @@ def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | No
 
 
 class Index:
-    """The index of accepted texts in a folder: postings by token bucket, token sets, texts, word and token statistics.
+    """The index of accepted texts in a folder: hashes of their words, texts, word statistics.
 
-    The statistics only order tokens and are frozen when the index is made, so postings
-    of all batches fit together; ``accept`` reads the batch, the postings and the texts of
+    The statistics only order words and are frozen when the index is made, so hashes
+    of all batches fit together; ``accept`` reads the batch, the hashes and the texts of
     surviving candidates, and appends.
     """
 
@@ -331,29 +324,22 @@ class Index:
     def create(self, history: DataFrame, key: str, batch: str, text: str) -> None:
         """Make the index from the accepted history, replacing what the folder held."""
         frequent = frequent_words(history, text)
-        self.spark.createDataFrame([(int(w),) for w in frequent], "word long").write.mode("overwrite").parquet(f"{self.path}/frequent")
+        self.spark.createDataFrame([tuple(map(int, w)) for w in frequent.T], "word long, n long").write.mode("overwrite").parquet(f"{self.path}/frequent")
         base = stage(self._texts(read(history, key, batch, text, frequent)), "accepted")
-        token_counts(postings(base)).write.mode("overwrite").parquet(f"{self.path}/counts")
         self._append(base, history, key, text, "overwrite")
 
-    def _prefixes(self, base: DataFrame) -> DataFrame:
-        counts = postings(base).select("token").distinct().join(self._read("counts"), "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
-        return prefixes(base, counts).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
-
     def _append(self, base: DataFrame, records: DataFrame, key: str, text: str, mode: str) -> None:
-        self._prefixes(base).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
         base.write.mode(mode).parquet(f"{self.path}/sets")
         records.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text")).write.mode(mode).parquet(f"{self.path}/content")
 
     def accept(self, batch_rows: DataFrame, key: str, batch: str, text: str) -> DataFrame:
         """Pairs ``(rec_a, rec_b)`` of an accepted and a new record; then the batch is part of the index."""
-        frequent = np.sort(np.array([r.word for r in self._read("frequent").collect()], np.int64))
-        base = stage(self._texts(read(batch_rows, key, batch, text, frequent)), "batch")
-        probe = self._prefixes(base)
-        same = F.col("x.bucket") == F.col("y.bucket")
-        met = meetings(probe, self._read("postings"), same & (F.col("x.first") != F.col("y.first")))
+        rows = self._read("frequent").toArrow()
+        frequent = np.stack([rows.column(c).to_numpy() for c in ("word", "n")])
+        base = stage(self._texts(read(batch_rows, key, batch, text, frequent[:, np.argsort(frequent[0])])), "batch")
+        met = meetings(self._read("sets").withColumn("side", F.lit(0)).unionByName(base.withColumn("side", F.lit(1))))
         content = self._read("content").unionByName(batch_rows.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text")))
-        pairs = stage(verify(met, self._read("sets").unionByName(base), content), "pairs")
+        pairs = stage(verify(met, content), "pairs")
         self._append(base, batch_rows, key, text, "append")
         new = base.select("rec").distinct()
         turned = pairs.join(new.withColumnRenamed("rec", "a").withColumn("late", F.lit(True)), "a", "left")

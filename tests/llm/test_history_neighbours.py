@@ -114,3 +114,16 @@ def test_p6_neighbours_has_distant_ones_of_every_vector(spark):
     two = [(i, [x] + [0.0] * 47, "") for i, x in (("p", 1.0), ("m", -1.0))]
     assert N.neighbours(spark.createDataFrame(two, "id string, embedding array<float>, t string"), least=-2, copies=6).count() == 2
     assert N.neighbours(spark.createDataFrame(two[:0], "id string, embedding array<float>, t string"), least=-2, copies=6).count() == 0
+
+
+def found(spark, rows):
+    return {tuple(r) for r in H.replay(spark.createDataFrame(rows, "rec long, batch int, content string"), "rec", "batch", "content").collect()}
+
+
+def test_long_pair_with_every_fifth_word_changed(spark):
+    text = [f"word{i}" for i in range(200)]
+    even = [f"new{i}" if i % 5 == 2 else w for i, w in enumerate(text)]
+    mixed = random.Random(1).sample(text, 200)
+    over = [f"other{i}" if i % 5 == 2 or i == 0 else w for i, w in enumerate(text)]
+    rows = [(i, i, " ".join(w)) for i, w in enumerate((text, even, mixed, over))]
+    assert found(spark, rows) == {(0, 1), (0, 2), (1, 2)}

@@ -127,3 +127,13 @@ def test_long_pair_with_every_fifth_word_changed(spark):
     over = [f"other{i}" if i % 5 == 2 or i == 0 else w for i, w in enumerate(text)]
     rows = [(i, i, " ".join(w)) for i, w in enumerate((text, even, mixed, over))]
     assert found(spark, rows) == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_long_pair_of_few_and_many_rare_words(spark):
+    common = [f"common{i}" for i in range(105)]
+    rare = [f"rare{i}" for i in range(5)]
+    few = common[:90] + rare + common[90:]
+    many = common[:40] + [f"{i}00{i}" for i in range(15)] + common[55:90] + rare + common[90:]  # one block of 15 words made new: 5 against 20 rare places
+    rows = [(i, i % 2, " ".join(w)) for i, w in enumerate((few, many))]
+    others = [(10 + i, i % 2, " ".join(common[i % 50 : i % 50 + 55] + [f"own{i}x{j}" for j in range(50)])) for i in range(150)]
+    assert found(spark, rows + others) == {(0, 1)}

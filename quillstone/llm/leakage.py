@@ -1,15 +1,15 @@
-"""Evaluation texts leaking into training text, by greedy string tiling.
+"""Evaluation texts leaking into training text.
 
 The test passages are the stated query set: a measured, broadcast block at a time they
-are held against every document in one scan, without a shuffle. A document shares rare
-seed words with a passage; around the seeds the longest common word runs are marked
-again and again by running Karp-Rabin until none is left, and the covered share of the
-passage decides what gets the exact check.
+are held against every document in one scan, without a shuffle. Runs are followed from
+the rarest word of each span of a passage; a passage of whose rarest words a document
+has as many as 60 % in order can't do without gets the exact check in every stretch.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -24,8 +24,10 @@ from quillstone.functions.words import words
 RUN, SHARE = 15, 0.6
 #: A passage's words in order must lie in a stretch of at most this many times its length.
 STRETCH = 1.25
-#: Shortest marked run, and the share of the passage that marked runs must cover before the exact check.
-TILE, COVERED = 2, 0.35
+#: Shortest marked run.
+TILE = 2
+#: Share of the words needed in order that a document must already hold among the passage's rarest.
+DEPTH = 0.5
 #: Seeds: of any SPAN consecutive passage words the PICK rarest in the corpus.
 SPAN, PICK = RUN, 2
 #: Whole passages of fewer words are short phrases, not leaks.
@@ -109,6 +111,27 @@ def in_order(pattern: Sequence[str], text: Sequence[str]) -> int:
     return len(pattern) - row.bit_count()
 
 
+def needed(n: int) -> int:
+    return math.ceil(round(SHARE * n, 6))
+
+
+def rare_share(pattern: Sequence[str], counts: dict[str, int]) -> tuple[dict[str, int], int]:
+    """How often the rarest words occur in the passage, and how many of these a text with SHARE of the passage's words holds at least."""
+    need = needed(len(pattern))
+    least = math.ceil(round(need * DEPTH, 6))
+    return Counter(sorted(pattern, key=lambda w: (counts.get(w, 0), w))[: len(pattern) - need + least]), least
+
+
+def run_at(pattern: Sequence[str], o: int, text: Sequence[str], i: int) -> int:
+    """Length of the common run through word ``o`` of the passage and word ``i`` of the text."""
+    a = b = 0
+    while a < min(o, i) and pattern[o - a - 1] == text[i - a - 1]:
+        a += 1
+    while o + b < len(pattern) and i + b < len(text) and pattern[o + b] == text[i + b]:
+        b += 1
+    return a + b
+
+
 def held(pattern: Sequence[str], text: Sequence[str]) -> bool:
     """Whether ``text`` holds the passage: whole, a run of RUN words, or SHARE of its words in order."""
     n = len(pattern)
@@ -116,10 +139,13 @@ def held(pattern: Sequence[str], text: Sequence[str]) -> bool:
     longest = max((k for _, _, k in marked), default=0)
     if longest == n and n >= SHORTEST or longest >= RUN:
         return True
-    if n < RUN or sum(k for _, _, k in marked) < COVERED * n:
-        return False
-    # the exact check, in every stretch that holds enough of the passage's words at all
-    need, width = -(-SHARE * n // 1), int(STRETCH * n)
+    return n >= RUN and in_stretch(pattern, text)
+
+
+def in_stretch(pattern: Sequence[str], text: Sequence[str]) -> bool:
+    """Whether some stretch of about the passage's length holds SHARE of its words in order."""
+    n = len(pattern)
+    need, width = needed(n), int(STRETCH * n)
     budget = Counter(pattern)
     have, common = Counter(), 0
     for i in range(len(text) + 1):
@@ -162,13 +188,6 @@ def corpus_counts(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str,
     return {r.word: r.n for r in rows.collect()}
 
 
-def near(i: int, mine: list[int], j: int, other: list[int]) -> bool:
-    """Whether two seeds lie about as far apart in the text as in the passage."""
-    gap = j - i
-    slack = max(2, gap // 4)
-    return gap <= 3 * SPAN and any(o > m and abs(o - m - gap) <= slack for m in mine for o in other)
-
-
 def search(docs: DataFrame, key: str, text: str, patterns: list[tuple[int, list[str]]]) -> DataFrame:
     """``(key, passage)`` of one block of passages."""
     counts = corpus_counts(docs, text, {w for _, p in patterns for w in p})
@@ -176,30 +195,35 @@ def search(docs: DataFrame, key: str, text: str, patterns: list[tuple[int, list[
     for k, (_, pattern) in enumerate(patterns):
         for w, rarest in seeds(pattern, counts).items():
             index[w].append((k, [i for i, x in enumerate(pattern) if x == w], rarest))
-    shared = docs.sparkSession.sparkContext.broadcast((dict(index), patterns))
+    rare: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    least = [0] * len(patterns)
+    for k, (_, pattern) in enumerate(patterns):
+        if len(pattern) >= RUN:
+            some, least[k] = rare_share(pattern, counts)
+            for w, n in some.items():
+                rare[w].append((k, n))
+    shared = docs.sparkSession.sparkContext.broadcast((dict(index), patterns, dict(rare), least, [Counter(p) for _, p in patterns]))
 
     def leaks(found: list[str]) -> list[int]:
-        index, patterns = shared.value
-        hits: dict[int, list[tuple[int, list[int], bool]]] = defaultdict(list)
+        index, patterns, rare, least, bags = shared.value
+        hits = set()
         for i in [i for i, w in enumerate(found) if w in index]:
-            for k, offsets, rarest in index[found[i]]:
-                hits[k].append((i, offsets, rarest))
-        out = []
-        for k, at in hits.items():
-            name, pattern = patterns[k]
-            n = len(pattern)
-            if n < RUN:  # only whole passages count
-                if any(found[i - o : i - o + n] == pattern for i, offsets, _ in at for o in offsets if i >= o):
-                    out.append(name)
-                continue
-            reach, done = int(STRETCH * n), -1
-            for (i, mine, one), (j, other, two) in zip(at, at[1:]):
-                if i > done and (one or two) and near(i, mine, j, other):
-                    done = i + reach
-                    if held(pattern, found[max(0, i - reach) : j + reach + 1]):
-                        out.append(name)
-                        break
-        return out
+            for k, offsets, one in index[found[i]]:
+                if one and k not in hits:
+                    n = len(patterns[k][1])
+                    if any(run_at(patterns[k][1], o, found, i) >= min(n, RUN) for o in offsets):
+                        hits.add(k)
+        own, shares = Counter(found), Counter()
+        for w in rare.keys() & own.keys():
+            have = own[w]
+            for k, n in rare[w]:
+                shares[k] += min(n, have)
+        for k, n in shares.items():
+            if n >= least[k] and k not in hits:
+                pattern = patterns[k][1]
+                if sum(min(c, own[w]) for w, c in bags[k].items() if w in own) >= needed(len(pattern)) and in_stretch(pattern, found):
+                    hits.add(k)
+        return [patterns[k][0] for k in hits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -116,3 +116,12 @@ def test_reading_levels_on_held_out_documents(spark):
     assert sum(got[i] == truth[i] for i in held) >= 0.95 * len(held)
     assert R.levels(tables[0], tables[1].limit(0)).count() == 0
     assert R.levels(tables[0].limit(0), tables[1]).count() == 0
+
+
+def test_leak_whose_rare_words_are_swapped(spark):
+    passage = [f"name{i}" if i % 5 in (0, 2) else f"usual{i}" for i in range(30)]
+    copy = [w.replace("name", "swapped") for w in passage]
+    usual = [w for w in passage if w.startswith("usual")]
+    docs = [(1, "start " * 40 + " ".join(copy) + " end" * 40), (2, " ".join(passage[::-1]))] + [(10 + i, " ".join(usual[::-1])) for i in range(4)]
+    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("c", " ".join(passage))], "id string, expected_answer string"))
+    assert [tuple(r) for r in got.collect()] == [(1, "c")]

@@ -6,7 +6,6 @@ lost executor costs a read, not the whole chain before it.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -32,17 +31,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does when the driver collects what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(*stages: DataFrame) -> None:
     """Delete stages that nothing will read again."""
     for df in stages:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for root in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

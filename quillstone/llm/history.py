@@ -1,17 +1,23 @@
 """Holding new batches against all accepted history.
 
-An exact prefix join over words. The words of a record are ordered from the corpus's
-rarest to its most frequent; records that share enough of all their words can't avoid
-sharing some of the rarest. Records of like length meet in one task, which counts the
-shared rare words by an inverted index, then all words by short hashes; what is left is
-verified on the texts. No pair is lost before that: each step bounds what is shared from
-above. Accepted texts are never read again except those of surviving candidates.
+An inverted index of rare-token prefixes. The words of a record in the order of their
+hashes, which is the same whatever their order in the text, are cut into runs of a few
+neighbours: the record's tokens. The rarest of them, by counts over the history, are its
+prefix. Postings of prefixes lie in a table bucketed by token, so a batch is sent to
+the buckets and the index stays where it is; lengths filter the postings met, shared tokens are
+counted, and what is left is verified on the word hashes of both. A record of history is
+never read again as text, and of copies only one is indexed.
+
+Changed words break tokens at random places of the hash order, however they are
+spread over the text: of two records that share 80 % of their words about 22 % of the
+tokens survive, and a pair that keeps BAR of its prefix is found. Short records are
+found by their rarest words, exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +28,29 @@ from pyspark.sql import types as T
 
 from quillstone.functions.words import words
 from quillstone.plans.broadcasting import broadcast_if_small
-from quillstone.plans.grouping import groups
-from quillstone.plans.staging import drop, release, stage
+from quillstone.plans.staging import drop, remove, shared_dir, stage
 
 #: Share of the longer record's words that must be shared.
 SIMILAR = 0.8
-#: Share of the words that must be shared which a pair must already share among the rarest.
-DEPTH = 0.06
-#: Words in at most this share of the records are all alike in the order; so the frequent words,
-#: which are broadcast, are at most (words a record / RARE) at any corpus size.
-RARE = 0.002
-#: Records of a band of lengths that one task compares with as many.
-BLOCK = 20_000
+#: Neighbours in hash order that make a token.
+RUN = 4
+#: The prefix: so large a share of a record's tokens, and so many at least.
+PREFIX, LEAST = 0.2, 60
+#: Share of the smaller prefix that must be shared.
+BAR = 0.04
+#: Records of up to so many words are found by their rarest words.
+SHORT = 48
+#: Cells of the token counts. Tokens of a cell with at most ALIKE occurrences, or twice a cell's
+#: average, are equally rare: what a group of so many near copies shares doesn't rank behind what each has alone.
+CELLS = 1 << 20
+ALIKE = 32
+SEGMENT = 1 << 14
+#: Postings in one bucket of a new index.
+BUCKET_ROWS = 2_000_000
 #: Fixed value: SHA-256 of the empty file.
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 FLUSH = 500_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes(dict):
@@ -45,211 +59,84 @@ class Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > FLUSH:
             self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
 
     def of(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, w := words(text)), np.int64, len(w))
+        return np.fromiter(map(self.__getitem__, w := words(text)), np.uint64, len(w))
 
 
-def word_counts(records: DataFrame, text: str) -> DataFrame:
-    """``(word, n)``: in how many records each word (by hash) occurs; counted in the task before shuffling."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _MIX
+    return x ^ x >> np.uint64(29)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
 
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts.update(set(hashes.of(value).tolist()))
-                if len(counts) > FLUSH:
-                    yield flush()
-        yield flush()
+def occurrences(x: np.ndarray) -> np.ndarray:
+    """Ascending hashes of a record's words, the n-th occurrence of a word being a word of its own."""
+    x = np.sort(x)
+    place = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], x[1:] != x[:-1])), place, 0))
+    return np.sort(mixed(x + (place - first).astype(np.uint64) * _MIX))
 
-    return records.select(F.col(f"`{text}`")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def runs(word: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of RUN neighbours; a shorter record is one run."""
+    n = max(1, len(word) - RUN + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(RUN, len(word))):
+        out = mixed(out ^ word[k : k + n])
+    return np.unique(out)
 
-def frequent_words(records: DataFrame, text: str, rare: float = RARE) -> np.ndarray:
-    """Hashes (ascending) and record counts of the words in more than ``rare`` of the non-blank records: at most words a record / rare of them."""
-    total = records.where(F.col(f"`{text}`").rlike(r"\S")).count()
-    rows = word_counts(records, text).where(F.col("n") > F.lit(rare * total)).toArrow()
-    found = np.stack([rows.column(c).to_numpy() for c in ("word", "n")])
-    return found[:, np.argsort(found[0])]
 
-
-def least_shared(n: np.ndarray) -> np.ndarray:
+def least_shared(n):
     """How many words a record of ``n`` words shares with a similar one that isn't longer."""
-    return np.ceil(np.round(n * SIMILAR, 6)).astype(np.int64)
-
-
-def depth(n: np.ndarray) -> np.ndarray:
-    """How many of the rarest words a pair shares whose shorter record has ``n`` words."""
-    return np.ceil(np.round(least_shared(n) * DEPTH, 6)).astype(np.int64)
-
-
-def signature(x: np.ndarray, frequent: np.ndarray) -> tuple[bytes, bytes]:
-    """``(prefix, bag)``: 32-bit hashes of the rarest words and 16-bit hashes of all; the n-th occurrence of a word counts as a word of its own.
-
-    If two records share s of their words, then of the n - s + d rarest of each they share d.
-    """
-    w = np.sort(x)
-    turn = np.arange(len(w)) - np.searchsorted(w, w)
-    with np.errstate(over="ignore"):
-        token = w + turn * np.int64(6364136223846793005)
-    at = np.searchsorted(frequent[0], w).clip(0, max(0, frequent.shape[1] - 1))
-    n = np.where(frequent[0][at] == w, frequent[1][at], 0) if frequent.shape[1] else np.zeros(len(w), np.int64)
-    size = np.int64(len(w))
-    rarest = np.lexsort((token, n))[: size - least_shared(size) + depth(size)]
-    return (token[rarest] >> 32).astype(np.int32).tobytes(), token.astype(np.uint16).tobytes()
+    return np.ceil(np.round(np.asarray(n) * SIMILAR, 6)).astype(np.int64)
 
 
-def read(records: DataFrame, key: str, batch: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """``(rec, batch, sign, n_words, prefix, bag)`` of each record with a word; ``sign`` is equal for equal folded texts."""
-    shared = records.sparkSession.sparkContext.broadcast(frequent)
+def cell_of(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(44)).astype(np.int64) % CELLS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for rows in batches:
-            at, sign, size, prefix, bag = [], [], [], [], []
-            for i, value in enumerate(rows.column(2).to_pylist()):
-                x = hashes.of(value)
-                if len(x):
-                    rarest, every = signature(x, shared.value)
-                    prefix.append(rarest)
-                    bag.append(every)
-                    at.append(i)
-                    sign.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                    size.append(len(x))
-            kept = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(kept), rows.column(1).take(kept), pa.array(sign, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bag, pa.binary())],
-                ["rec", "batch", "sign", "n_words", "prefix", "bag"],
-            )
 
-    return records.select(F.col(f"`{key}`").cast("long"), F.col(f"`{batch}`").cast("int"), F.col(f"`{text}`")).mapInArrow(run, "rec long, batch int, sign binary, n_words int, prefix binary, bag binary")
+def rarest(token: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rarest tokens; equally rare ones (``counts`` ends with the bound) in the order of their hashes."""
+    count = counts[cell_of(token)]
+    return token[np.lexsort((token, np.where(count > counts[-1], count, 0)))[:n]]
 
 
-def band(n: Column) -> Column:
-    return F.floor(F.log(n) / F.log(F.lit(1 / SIMILAR))).cast("int")
+def prefix(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    token = runs(word)
+    found = rarest(token, counts, max(LEAST, int(np.ceil(len(token) * PREFIX))))
+    if len(word) <= SHORT / SIMILAR:  # of the n - s + 1 rarest words of each, records that share s share one
+        found = np.concatenate((found, rarest(word, counts, len(word) - int(least_shared(len(word))) + 1)))
+    return found.view(np.int64)
 
 
-def placed(texts: DataFrame) -> DataFrame:
-    """``texts`` with the ``cell`` in which they are compared, as ``probe`` (the longer of a pair), ``target`` or both.
+def token_counts(records: DataFrame, text: str) -> np.ndarray:
+    """Over all records: how often the tokens of each cell occur, and last how often the equally rare ones do at most.
 
-    A record is the longer one in its own band of lengths, the shorter one there and in the
-    bands of records longer by up to the similar share. The records of a band of more than
-    BLOCK are cut into parts, and each pair of parts is a cell.
+    Each task adds up an array of its own, which is summed by segment: a fixed number of
+    cells reaches the driver, whatever the corpus.
     """
-    sizes = {r.band: r.n for r in texts.groupBy(band(F.col("n_words")).alias("band")).agg(F.count("*").alias("n")).collect()}
-    last = max(sizes, default=0)
-    parts = F.array(*(F.lit(max(1, -(-sizes.get(b, 0) // BLOCK))) for b in range(last + 1)))
-    n = F.col("n_words")
-    rows = texts.withColumn("own", band(n)).withColumn("band", F.explode(F.sequence("own", F.least(band(n / SIMILAR + 1), F.lit(last)))))
-    rows = rows.withColumn("parts", parts[F.col("band")]).withColumn("part", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int"))
-    home, part, every = F.col("own") == F.col("band"), F.col("part"), F.sequence(F.lit(0), F.col("parts") - 1)
-
-    def place(i: Column, j: Column, probe: Column, target: bool) -> Column:
-        cell = (F.col("band").cast("long") * (1 << 20) + i) * (1 << 20) + j
-        return F.struct(cell.alias("cell"), probe.alias("probe"), F.lit(target).alias("target"))
-
-    targets = F.transform(every, lambda t: place(t, part, home & (t == part), True))
-    probes = F.transform(F.filter(every, lambda t: home & (t != part)), lambda t: place(part, t, F.lit(True), False))
-    return rows.withColumn("p", F.explode(F.concat(targets, probes))).select("p.cell", "p.probe", "p.target", "rec", "n_words", "side", "first", "last", "prefix", "bag")
-
-
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    size = end - start
-    return np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-
-
-def _compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of records of a cell that may be similar."""
-    rec, n = table.column("rec").to_numpy(), table.column("n_words").to_numpy().astype(np.int64)
-    order = np.lexsort((rec, n))
-    table, rec, n = table.take(pa.array(order)), rec[order], n[order]
-    probe, target, side, first, last = (table.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "target", "side", "first", "last"))
-    prefixes, bags = table.column("prefix").to_pylist(), table.column("bag").to_pylist()
-    _, token = np.unique(np.frombuffer(b"".join(prefixes), np.int32), return_inverse=True)
-    ends = np.cumsum([0, *(len(p) // 4 for p in prefixes)])
-    bag, bag_at = np.frombuffer(b"".join(bags), np.uint16), np.cumsum([0, *(len(b) // 2 for b in bags)])
-    m = len(rec)
-    owner = np.repeat(np.arange(m), np.diff(ends))
-    sides, count = np.unique(side[side >= 0], return_counts=True)
-    common = sides[count.argmax()] if len(sides) else -2
-    # records of the commonest side are held against those of other sides only
-    postings = [np.sort((token * m + owner)[keep[owner]]) for keep in (target, target & (side != common))]
-    lowest, deep, least = np.searchsorted(n, least_shared(n)), depth(n), least_shared(n)
-    holds = np.zeros(1 << 16, bool)
-    a, b = [], []
-    for x in np.flatnonzero(probe).tolist():
-        low = lowest[x]
-        if low >= x:
-            continue
-        post, own = postings[int(side[x] == common)], token[ends[x] : ends[x + 1]] * m
-        met = post[_ranges(np.searchsorted(post, own + low), np.searchsorted(post, own + x))] % m - low
-        y = low + np.flatnonzero(np.bincount(met, minlength=x - low) >= deep[low:x])
-        y = y[((side[y] != side[x]) | (side[x] < 0)) & ((first[y] != last[y]) | (first[x] != last[x]) | (first[x] != first[y]))]
-        if len(y):
-            holds[bag[bag_at[x] : bag_at[x + 1]]] = True
-            found = holds[bag[_ranges(bag_at[y], bag_at[y + 1])]]
-            holds[bag[bag_at[x] : bag_at[x + 1]]] = False
-            y = y[np.add.reduceat(found, np.cumsum(n[y]) - n[y], dtype=np.int64) >= least[x]]
-            a.append(np.minimum(rec[x], rec[y]))
-            b.append(np.maximum(rec[x], rec[y]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def meetings(texts: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of texts that may be similar, of different ``side`` (below 0: any) and not all of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            cell = table.column("cell").to_numpy()
-            ends = [*np.flatnonzero(np.diff(cell)) + 1, len(cell)]
-            for start, end in zip([0, *ends], ends):
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in _compare(table.slice(start, end - start))], ["a", "b"])
-
-    return placed(texts).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
-
 
-@F.pandas_udf(T.DoubleType())
-def shared_words(x, y):
-    """Words in common (as often as in both) as a share of the longer text's words."""
-    import pandas as pd
-
-    out, bags = [], {}  # a text that is in several pairs of the batch is read once
-    for a, b in zip(x, y):
-        for text in (a, b):
-            if text not in bags:
-                bags[text] = Counter(words(text))
-        a, b = bags[a], bags[b]
-        most = max(a.total(), b.total())
-        out.append((a & b).total() / most if most else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
-def verify(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """Of the met pairs those that share enough words; ``content`` is ``(rec, text)``."""
-    near = stage(pairs, "near")
-    release(content.sparkSession)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
-    read = content.join(broadcast_if_small(wanted), "rec", "left_semi")
-    both = near.join(read.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
-    return both.where(shared_words("ta", "tb") >= SIMILAR).select("a", "b")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = Hashes(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            found = [cell_of(np.concatenate((runs(w), w)) if len(w) <= SHORT / SIMILAR else runs(w)) for v in batch.column(0).to_pylist() if len(w := occurrences(hashes.of(v)))]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=CELLS)
+        parts = total.reshape(-1, SEGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["segment", "counts"])
 
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(p, np.int64) for p in parts.column("counts").to_pylist()), np.zeros(SEGMENT, np.int64))
+        return pa.table({"segment": parts.column("segment")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-def representatives(read_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(members, texts)``: ``(rec, batch, rep)`` of each record, and one text per class of equal folded texts."""
-    classes = read_texts.groupBy("sign").agg(F.min("rec").alias("rep"), F.min("batch").alias("first"), F.max("batch").alias("last"))
-    members = read_texts.select("rec", "batch", "sign").join(classes.select("sign", "rep"), "sign").select("rec", "batch", "rep")
-    texts = read_texts.select("rec", "n_words", "prefix", "bag").join(classes.select(F.col("rep").alias("rec"), "first", "last"), "rec")
-    return members, texts
+    schema = "segment int, counts binary"
+    rows = records.select(F.col(f"`{text}`")).mapInArrow(count, schema).groupBy("segment").applyInArrow(add, schema).toArrow()
+    total = np.zeros((CELLS // SEGMENT, SEGMENT), np.int64)
+    for segment, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        total[segment] = np.frombuffer(counts, np.int64)
+    return np.append(total.ravel(), max(ALIKE, 2 * int(total.mean()))).clip(0, (1 << 32) - 1).astype(np.uint32)
 
 
 def file_hash(column: Column) -> Column:
@@ -258,92 +145,186 @@ def file_hash(column: Column) -> Column:
     return F.when((digits != "") & (digits != EMPTY_FILE), digits)
 
 
-def same_file(records: DataFrame, key: str, batch: str, text: str, digest: str) -> DataFrame:
-    """Pairs of records of different batches with one file hash, of which one has null content and neither blank content."""
-    rows = records.select(
-        F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{batch}`").cast("int").alias("batch"), file_hash(F.col(f"`{digest}`")).alias("h"),
-        F.col(f"`{text}`").isNull().alias("none"), F.coalesce(F.col(f"`{text}`").rlike(r"\S"), F.lit(True)).alias("fit"),
-    ).where("h is not null and fit")
-    x, y = rows.where("none").alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.batch") != F.col("y.batch")))
-    return met.select(*(F.when(F.col("x.batch") < F.col("y.batch"), F.col(f"{p}.rec")).otherwise(F.col(f"{q}.rec")).alias(n) for p, q, n in (("x", "y", "rec_a"), ("y", "x", "rec_b")))).distinct()
-
+def read(records: DataFrame, key: str, text: str, digest: str | None, counts: np.ndarray) -> DataFrame:
+    """``(rec, h, none, sign, n_words, tokens, bag)`` of each record with a key.
 
-def class_pairs(texts: DataFrame, content: DataFrame) -> DataFrame:
-    """Similar classes ``(a, b)``, unless all records of both came in one batch."""
-    return verify(meetings(texts.withColumn("side", F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(-1))), content)
+    ``h`` is the file hash where it may stand for the text (null or not blank), ``none`` says
+    that the text is null; ``sign`` is equal for equal folded texts and null, like what
+    follows it, without a word; ``bag`` holds the ascending 32-bit hashes of all words.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(counts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for rows in batches:
+            made = []
+            for value in rows.column(3).to_pylist():
+                x = hashes.of(value)
+                if not len(x):
+                    made.append((None,) * 4)
+                    continue
+                word = occurrences(x)
+                sign = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                made.append((sign, len(x), prefix(word, shared.value), (word >> np.uint64(32)).astype(np.uint32).tobytes()))
+            columns = list(zip(*made)) or [()] * 4
+            kinds = pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["rec", "h", "none", "sign", "n_words", "tokens", "bag"])
+
+    content = F.col(f"`{text}`")
+    fit = content.isNull() | content.rlike(r"\S")
+    h = F.lit(None).cast("string") if digest is None else F.when(fit, file_hash(F.col(f"`{digest}`")))
+    rows = records.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("rec"), h.alias("h"), content.isNull().alias("none"), content.alias("text"))
+    return rows.mapInArrow(run, "rec long, h string, none boolean, sign binary, n_words int, tokens array<long>, bag binary")
+
+
+@F.pandas_udf(T.IntegerType())
+def shared_words(x, y):
+    """Words in common, as often as in both, of two bags."""
+    import pandas as pd
 
-def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
-    """Pairs ``(rec_a, rec_b)`` that come out when the batches arrive one after the other, rec_a in the earlier one.
-
-    The probes of all batches run as one join, which gives what ``Index.accept``
-    gives batch by batch. Equal folded texts are one class with one set of postings, so a
-    group of copies of any size is searched once. Null, empty and blank texts (no letter or
-    digit) have no words and meet nothing; with ``digest`` a null text is matched by file
-    hash instead. Null keys or batches meet nothing. A pair comes once, repeated rows of a
-    key included; other columns play no part, whatever their names.
-    """
-    records = records.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{batch}`").isNotNull())
-    base = stage(read(records, key, batch, text, frequent_words(records, text)), "texts")
-    members, texts = representatives(base)
-    members, texts = stage(members, "members"), stage(texts, "classes")
-    drop(base)
-    release(records.sparkSession)
-    content = records.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text"))
-    similar = class_pairs(texts, content)
-    m = members.alias("m"), members.alias("o")
-    a, b = (members.select(F.col("rep").alias(n), F.col("rec").alias(f"r{n}"), F.col("batch").alias(f"b{n}")) for n in "ab")
-    across = similar.join(a, "a").join(b, "b").where("ba != bb")
-    within = m[0].join(m[1], (F.col("m.rep") == F.col("o.rep")) & (F.col("m.batch") < F.col("o.batch")))
-    found = across.select(F.when(F.col("ba") < F.col("bb"), F.col("ra")).otherwise(F.col("rb")).alias("rec_a"), F.when(F.col("ba") < F.col("bb"), F.col("rb")).otherwise(F.col("ra")).alias("rec_b"))
-    found = found.unionByName(within.select(F.col("m.rec").alias("rec_a"), F.col("o.rec").alias("rec_b")))
-    if digest is not None:
-        found = found.unionByName(same_file(records, key, batch, text, digest))
-    return found.where("rec_a != rec_b").distinct()
+    read = [[np.frombuffer(b, np.uint32) for b in bags] for bags in (x, y)]
+    return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*read)], dtype="int32")
 
 
 class Index:
-    """The index of accepted texts in a folder: hashes of their words, texts, word statistics.
-
-    The statistics only order words and are frozen when the index is made, so hashes
-    of all batches fit together; ``accept`` reads the batch, the hashes and the texts of
-    surviving candidates, and appends.
+    """The index of accepted records in a folder: postings, word hashes, members of classes of equal texts, links between classes.
+
+    A class is named by the least key of its first batch. Batches are accepted one after the
+    other under rising numbers; one accepted again, after a failure, replaces what it
+    left. The token counts are taken when the index is made and only order tokens, so
+    prefixes of all batches fit together. Null keys and batches are not accepted; repeated
+    rows count once; null, empty and blank texts (no letter or digit) have no class, but a
+    null text is matched by file hash. Other columns play no part, whatever their names.
     """
 
+    #: Tables bucketed for their joins: name -> (columns, bucket column).
+    TABLES = {"postings": ("token long, n_words int, class long", "token"), "classes": ("sign binary, class long", "sign")}
+    FOLDERS = {"members": "rec long, class long, h string, none boolean", "links": "a long, c long", "bags": "class long, n_words int, bag binary"}
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    @staticmethod
-    def _texts(read_texts: DataFrame) -> DataFrame:
-        return read_texts.withColumn("first", F.col("batch")).withColumn("last", F.col("batch"))
-
-    def create(self, history: DataFrame, key: str, batch: str, text: str) -> None:
-        """Make the index from the accepted history, replacing what the folder held."""
-        frequent = frequent_words(history, text)
-        self.spark.createDataFrame([tuple(map(int, w)) for w in frequent.T], "word long, n long").write.mode("overwrite").parquet(f"{self.path}/frequent")
-        base = stage(self._texts(read(history, key, batch, text, frequent)), "accepted")
-        self._append(base, history, key, text, "overwrite")
-
-    def _append(self, base: DataFrame, records: DataFrame, key: str, text: str, mode: str) -> None:
-        base.write.mode(mode).parquet(f"{self.path}/sets")
-        records.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text")).write.mode(mode).parquet(f"{self.path}/content")
-
-    def accept(self, batch_rows: DataFrame, key: str, batch: str, text: str) -> DataFrame:
-        """Pairs ``(rec_a, rec_b)`` of an accepted and a new record; then the batch is part of the index."""
-        rows = self._read("frequent").toArrow()
-        frequent = np.stack([rows.column(c).to_numpy() for c in ("word", "n")])
-        base = stage(self._texts(read(batch_rows, key, batch, text, frequent[:, np.argsort(frequent[0])])), "batch")
-        met = meetings(self._read("sets").withColumn("side", F.lit(0)).unionByName(base.withColumn("side", F.lit(1))))
-        content = self._read("content").unionByName(batch_rows.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").alias("text")))
-        pairs = stage(verify(met, content), "pairs")
-        self._append(base, batch_rows, key, text, "append")
-        new = base.select("rec").distinct()
-        turned = pairs.join(new.withColumnRenamed("rec", "a").withColumn("late", F.lit(True)), "a", "left")
-        return turned.select(F.when(F.col("late"), F.col("b")).otherwise(F.col("a")).alias("rec_a"), F.when(F.col("late"), F.col("a")).otherwise(F.col("b")).alias("rec_b")).distinct()
+    def _name(self, table: str) -> str:
+        return f"quillstone_{table}_{hashlib.blake2b(self.path.encode(), digest_size=6).hexdigest()}"
+
+    def _open(self) -> None:
+        """Declare the bucketed tables of the folder to this session."""
+        frozen = self.spark.read.parquet(f"{self.path}/frozen").first()
+        self.buckets, self.counts = frozen.buckets, np.frombuffer(frozen.counts, np.uint32)
+        for table, (columns, by) in self.TABLES.items():
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}, batch int) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+
+    def create(self, history: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
+        """Make the index in an empty folder from the accepted history; its pairs, if it came in several batches."""
+        counts = token_counts(history, text)
+        postings = int(counts[:-1].sum(dtype=np.int64) * PREFIX)
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_ROWS))
+        self.spark.createDataFrame([(buckets, counts.tobytes())], "buckets int, counts binary").write.parquet(f"{self.path}/frozen")
+        for folder, columns in self.FOLDERS.items():  # so that an index without batches can be read
+            self._write(self.spark.createDataFrame([], columns), folder, -1)
+        return self.accept(history, key, batch, text, digest)
+
+    def accept(self, records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
+        """Find the links of the batches in ``records`` with what came before, one after the other, and make them part of the index; their pairs."""
+        self._open()
+        number = F.col(f"`{batch}`").cast("int")
+        numbers = sorted(r[0] for r in records.select(number).distinct().where(number.isNotNull()).collect())
+        for n in numbers:
+            self._accept(read(records.where(number == n), key, text, digest, self.counts), n)
+        return self.pairs(numbers)
+
+    def _rows(self, folder: str, before: int | None = None) -> DataFrame:
+        schema = T.StructType.fromDDL(self.FOLDERS[folder] + ", batch int")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def _write(self, rows: DataFrame, folder: str, number: int) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}/batch={number}")
+
+    def _insert(self, rows: DataFrame, table: str, number: int) -> None:
+        placed = rows.withColumn("batch", F.lit(number)).repartition(self.buckets, self.TABLES[table][1])
+        remove(self.spark, f"{self.path}/{table}/batch={number}")  # of a failed attempt
+        self.spark.catalog.refreshTable(self._name(table))
+        placed.write.mode("append").insertInto(self._name(table))
+
+    def _accept(self, found: DataFrame, number: int) -> None:
+        rows = stage(found.withColumn("uid", F.monotonically_increasing_id()), "batch")
+        heads = rows.where("sign is not null").groupBy("sign").agg(F.min(F.struct("rec", "uid")).alias("head"))
+        known = self.spark.table(self._name("classes")).where(F.col("batch") < number).select("sign", F.col("class").alias("known"))
+        named = heads.join(known, "sign", "left").select("sign", "head.uid", F.coalesce("known", "head.rec").alias("class"), F.col("known").isNull().alias("fresh"))
+        named = stage(named, "named")
+        small = broadcast_if_small(named)
+        self._write(rows.join(small.select("sign", "class"), "sign", "left").select("rec", "class", "h", "none").distinct(), "members", number)
+        texts = rows.drop("sign").join(small.drop("sign"), "uid")
+        posted = texts.select(F.explode("tokens").alias("token"), "n_words", "class", "fresh")
+        self._write(self._links(posted, texts, number), "links", number)
+        self._write(texts.where("fresh").select("class", "n_words", "bag"), "bags", number)
+        self._insert(posted.where("fresh").select("token", "n_words", "class"), "postings", number)
+        self._insert(named.where("fresh").select("sign", "class"), "classes", number)
+        drop(rows, named)
+
+    def _links(self, posted: DataFrame, texts: DataFrame, number: int) -> DataFrame:
+        """``(a, c)``: a class of the batch and a similar one of an earlier batch."""
+        old = self.spark.table(self._name("postings")).where(F.col("batch") < number).select("token", F.col("n_words").alias("m"), F.col("class").alias("c"))
+        if old.isEmpty():
+            return self.spark.createDataFrame([], self.FOLDERS["links"])
+        new = posted.select("token", F.col("n_words").alias("n"), F.col("class").alias("a"))
+        fewer, more = F.least("n", "m"), F.greatest("n", "m")
+        met = new.hint("shuffle_hash").join(old, "token").where((fewer >= F.ceil(F.round(more * SIMILAR, 6))) & (F.col("a") != F.col("c")))
+        tokens = F.greatest(fewer - (RUN - 1), F.lit(1))
+        size = F.least(tokens, F.greatest(F.lit(LEAST), F.ceil(tokens * PREFIX)))
+        bar = F.when(fewer <= SHORT, 1).otherwise(F.ceil(F.round(size * BAR, 6)))
+        near = stage(met.groupBy("a", "c", bar.alias("bar")).count().where("count >= bar").select("a", "c"), "near")
+        ours = texts.select(F.col("class").alias("a"), "n_words", F.col("bag").alias("x"))
+        theirs = self._rows("bags", number).select(F.col("class").alias("c"), F.col("n_words").alias("m"), F.col("bag").alias("y"))
+        both = theirs.join(broadcast_if_small(near), "c").join(ours, "a")
+        return both.where(shared_words("x", "y") >= F.ceil(F.round(F.greatest("n_words", "m") * SIMILAR, 6))).select("a", "c")
+
+    def members(self) -> DataFrame:
+        """``(rec, class, batch)`` of all accepted records with a word."""
+        return self._rows("members").where("class is not null").select("rec", "class", "batch")
+
+    def links(self) -> DataFrame:
+        """``(a, c)``, a < c: similar classes that came in different batches; with ``members`` all pairs, not written out."""
+        return self._rows("links").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct()
+
+    def pairs(self, numbers: list[int] | None = None) -> DataFrame:
+        """Distinct pairs ``(rec_a, rec_b)`` of all records of different batches, rec_a's the earlier, rec_b's among ``numbers``.
+
+        Same or similar text, or the same file if a text is null. Copies are written out here, so
+        a class of n records gives up to n * n / 2 rows.
+        """
+        m = self.members()
+        one, other = (m.select(F.col("class").alias(c), F.col("rec").alias(f"r{c}"), F.col("batch").alias(f"b{c}")) for c in "ac")
+        across = self.links().join(one, "a").join(other, "c").select("ra", "ba", "rc", "bc")
+        within = one.join(other, F.col("a") == F.col("c")).where("ba < bc").select("ra", "ba", "rc", "bc")
+        files = self._rows("members").where("h is not null").select("h", "none", "rec", "batch").distinct()
+        x, y = files.where("none").alias("x"), files.alias("y")
+        same = x.join(y, F.col("x.h") == F.col("y.h")).select(F.col("x.rec").alias("ra"), F.col("x.batch").alias("ba"), F.col("y.rec").alias("rc"), F.col("y.batch").alias("bc"))
+        found = across.unionByName(within).unionByName(same).where("ba != bc and ra != rc")
+        late = F.col("ba") > F.col("bc")
+        found = found.select(F.when(late, F.col("rc")).otherwise(F.col("ra")).alias("rec_a"), F.when(late, F.col("ra")).otherwise(F.col("rc")).alias("rec_b"), F.greatest("ba", "bc").alias("b"))
+        if numbers is not None:
+            found = found.where(F.col("b").isin(numbers))
+        return found.select("rec_a", "rec_b").distinct()
+
+    def close(self) -> None:
+        """Forget the bucketed tables and delete what only further batches would need; members and links stay."""
+        for table in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+        remove(self.spark, *(f"{self.path}/{f}" for f in (*self.TABLES, "bags", "frozen")))
+
+
+def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
+    """Pairs ``(rec_a, rec_b)`` that come out when the batches arrive one after the other, rec_a in the earlier one; the first is the history."""
+    spark = records.sparkSession
+    number = F.col(f"`{batch}`").cast("int")
+    first = records.agg(F.min(number)).first()[0]
+    index = Index(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    index.create(records.where(number == F.lit(first)), key, batch, text, digest)
+    index.accept(records.where(number > F.lit(first)), key, batch, text, digest)
+    index.close()
+    return index.pairs()
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:

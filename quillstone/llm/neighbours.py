@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.plans.grouping import groups
-from quillstone.plans.staging import drop, release, stage
+from quillstone.plans.staging import drop, stage
 
 DIMENSIONS = 48
 #: Slack of the coarse (8-bit) cosine against the exact one.
@@ -242,10 +242,8 @@ def cell_pairs(base: DataFrame, k: int, copies: int) -> DataFrame:
     placed = base.select("uid", "unit").mapInArrow(assign, "cell int, uid long, code binary")
     met = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b array<bigint>, near array<float>")
     met = stage(met, "met")
-    release(base.sparkSession)
     pairs = stage(met.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long").distinct(), "pairs")
     drop(met)
-    release(base.sparkSession)
     return pairs
 
 
@@ -302,8 +300,7 @@ def neighbours(
     if copies:  # the vectors' shuffle files go before the ranking writes its own
         met = stage(met, "cosines")
         drop(pairs)
-        release(base.sparkSession)
-    both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "cosine").select("p.*", "cosine")
+        both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "cosine").select("p.*", "cosine")
     names = base.select("uid", "key")
     named = both.join(names.select(F.col("uid").alias("b"), F.col("key").alias("neighbour")), "b").groupBy("a").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k).alias("best")

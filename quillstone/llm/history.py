@@ -84,8 +84,8 @@ def runs(word: np.ndarray) -> np.ndarray:
     n = max(1, len(word) - RUN + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(RUN, len(word))):
-        out = mixed(out ^ word[k : k + n])
-    return np.unique(out)
+        out = out * _MIX + word[k : k + n]
+    return mixed(out)
 
 
 def least_shared(n):
@@ -228,6 +228,7 @@ class Index:
         """Find the links of the batches in ``records`` with what came before, one after the other, and make them part of the index; their pairs."""
         self._open()
         number = F.col(f"`{batch}`").cast("int")
+        self.empty = self._rows("members").isEmpty()
         numbers = sorted(r[0] for r in records.select(number).distinct().where(number.isNotNull()).collect())
         for n in numbers:
             self._accept(read(records.where(number == n), key, text, digest, self.counts), n)
@@ -257,17 +258,17 @@ class Index:
         self._write(rows.join(small.select("sign", "class"), "sign", "left").select("rec", "class", "h", "none").distinct(), "members", number)
         texts = rows.drop("sign").join(small.drop("sign"), "uid")
         posted = texts.select(F.explode("tokens").alias("token"), "n_words", "class", "fresh")
-        self._write(self._links(posted, texts, number), "links", number)
+        if not self.empty:
+            self._write(self._links(posted, texts, number), "links", number)
         self._write(texts.where("fresh").select("class", "n_words", "bag"), "bags", number)
         self._insert(posted.where("fresh").select("token", "n_words", "class"), "postings", number)
         self._insert(named.where("fresh").select("sign", "class"), "classes", number)
+        self.empty = False
         drop(rows, named)
 
     def _links(self, posted: DataFrame, texts: DataFrame, number: int) -> DataFrame:
         """``(a, c)``: a class of the batch and a similar one of an earlier batch."""
         old = self.spark.table(self._name("postings")).where(F.col("batch") < number).select("token", F.col("n_words").alias("m"), F.col("class").alias("c"))
-        if old.isEmpty():
-            return self.spark.createDataFrame([], self.FOLDERS["links"])
         new = posted.select("token", F.col("n_words").alias("n"), F.col("class").alias("a"))
         fewer, more = F.least("n", "m"), F.greatest("n", "m")
         met = new.hint("shuffle_hash").join(old, "token").where((fewer >= F.ceil(F.round(more * SIMILAR, 6))) & (F.col("a") != F.col("c")))

@@ -21,7 +21,11 @@ STEP_BACK_STOPWORDS = (
     "other some such no only own same than too very just that this these those what which who whom whose when where why how i me my myself we our "
     "you your he him his she her it its they them their"
 ).split()
-EXPANSION_STOPWORDS = STEP_BACK_STOPWORDS[: STEP_BACK_STOPWORDS.index("just") + 1]
+EXPANSION_STOPWORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from "
+    "as into about between through during before after above below and but or nor not so yet both either neither each every all any few more most "
+    "other some such no only own same than too very just"
+).split()
 CONTENT_STOPWORDS = (
     "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for "
     "on with at by from as into through during before after above below between out off over under again further then once here there when where "

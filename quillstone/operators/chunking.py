@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from quillstone.functions import text as T
 
+# Patterns that decide where texts are cut.
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows of one side that a bucket holds on average.
 BUCKET_ROWS = 5_000
+#: Buckets that a task compares, one after the other.
+BUCKETS_A_TASK = 8
 
 
 def latest(df: DataFrame, key: str, fields: dict[str, Column], order: Column | None) -> DataFrame:
@@ -118,11 +120,9 @@ def differences(
                 emit(mine["key"].filter(cells), name, x.filter(cells), y.filter(cells))
         return pa.concat_tables(parts) if parts else target.empty_table()
 
-    return (
-        a.withColumn("bucket", bucket).groupBy("bucket")
-        .cogroup(b.withColumn("bucket", bucket).groupBy("bucket"))
-        .applyInArrow(compare, schema)
-    )
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_A_TASK))  # so that tasks don't grow with the data
+    mine, other = (side.withColumn("bucket", bucket).repartition(tasks, "bucket").groupBy("bucket") for side in (a, b))
+    return mine.cogroup(other).applyInArrow(compare, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

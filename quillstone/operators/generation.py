@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators.ranking import placed
 
 #: Words kept free for the context's frame.
 FRAME = 20
@@ -31,13 +32,21 @@ def within_budget(rows: DataFrame, budget: int, order: str = "score") -> DataFra
     return sized.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")
 
 
-def contexts(rows: DataFrame, budget: int, style: str = "xml") -> DataFrame:
+def running_budget(rows: DataFrame, budget: int) -> DataFrame:
+    """As ``within_budget`` for groups of any size: ``(query_id, id, size, place)`` of those that fit, from ``(query_id, id, score, size)``."""
+    lined = placed(rows.select("query_id", "id", "score", "size"), "query_id", [F.desc("score"), F.asc("id")], F.col("size"))
+    return lined.where(F.col("total") <= budget).select("query_id", "id", "size", "place")
+
+
+def contexts(rows: DataFrame, budget: int, style: str = "xml", order: str = "score") -> DataFrame:
     """``(query_id, context, n_sources)`` from ``(query_id, id, score, text)``.
 
-    Copies are left out; sources are numbered in order; if the very first exceeds the
+    Sources come by score; with ``order`` "position" by the column of that name. Copies are left out; sources are numbered in order; if the very first exceeds the
     budget it is cut to it. Styles: xml, markdown, plain.
     """
     available = budget - FRAME
+    if order == "position":
+        rows = rows.withColumn("score", -F.col("position").cast("double"))
     distinct = distinct_content(rows)
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     words = F.filter(F.split("text", T.WS + "+"), lambda w: w != "")
@@ -95,3 +104,22 @@ def citations(rows: DataFrame, key: str, answer: str, sources: str) -> DataFrame
     at = F.col("marker").try_cast("int")
     source = F.when(at >= 1, F.get("s", at - 1))
     return made.select(key, F.concat(F.lit("["), "marker", F.lit("]")).alias("marker"), source.alias("source"), F.substring(source, 1, 200).alias("snippet"))
+
+
+def citation_report(rows: DataFrame, key: str, answer: str, sources: str) -> DataFrame:
+    """``(key, inline, footnotes, block, warnings)`` of each answer: its known citations in three formats, and a warning for each occurrence of a marker that numbers no source."""
+    a, s = F.col(answer), F.col(sources)
+    at = lambda m: F.coalesce(m.try_cast("int"), F.lit(0))
+    known = lambda m: (at(m) >= 1) & (at(m) <= F.coalesce(F.size(s), F.lit(0)))
+    tag = lambda m: F.concat(F.lit("["), m, F.lit("]"))
+    cited = F.filter(markers(a), known)
+    source = lambda m: F.coalesce(F.get(s, at(m) - 1), F.lit(""))
+    lines = F.transform(cited, lambda m: F.concat(tag(m), F.lit(" *"), source(m), F.lit("* — "), F.substring(source(m), 1, 200)))
+    every = F.regexp_extract_all(a, F.lit(r"\[(\d+)\]"), 1)
+    return rows.select(
+        key,
+        F.array_join(F.transform(cited, lambda m: F.concat(tag(m), F.lit(" "), source(m))), ", ").alias("inline"),
+        F.array_join(F.transform(cited, lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), source(m))), "\n").alias("footnotes"),
+        F.when(F.size(cited) > 0, F.concat(F.lit("**Sources:**\n\n"), F.array_join(lines, "\n"))).otherwise("").alias("block"),
+        F.transform(F.filter(every, lambda m: ~known(m)), lambda m: F.concat(F.lit("citation "), tag(m), F.lit(" not found in context"))).alias("warnings"),
+    )

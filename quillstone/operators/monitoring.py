@@ -122,12 +122,18 @@ def mask(metadata: Column, secrets: tuple[str, ...] = ("password", "secret", "to
     return F.transform_values(metadata, lambda k, v: F.when(hit(k), F.lit("***")).otherwise(v))
 
 
+def mask_json(column: Column, secrets: tuple[str, ...] = ("password", "secret", "token", "api_key", "authorization")) -> Column:
+    """JSON text in which string values under keys that name a secret are ***, at any depth; other values stay."""
+    return F.regexp_replace(column, rf'(?i)("[^"]*(?:{"|".join(secrets)})[^"]*"\s*:\s*)"(?:[^"\\]|\\.)*"', '$1"***"')
+
+
 def metric_key(name: Column, labels: Column) -> Column:
     """``name{a=1,b=2}`` with sorted labels."""
     parts = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.when(F.size(labels) > 0, F.concat(name, F.lit("{"), F.array_join(parts, ","), F.lit("}"))).otherwise(name)
 
 
-def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, exponential: bool = True) -> Column:
-    """Seconds to wait before the next attempt, without jitter."""
-    return F.least(F.lit(base) * (F.pow(F.lit(2.0), attempt) if exponential else attempt + 1), F.lit(most))
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, exponential: bool = True, jitter: Column | None = None) -> Column:
+    """Seconds to wait before the next attempt; ``jitter`` (0 to 1) halves it at 0."""
+    wait = F.least(F.lit(base) * (F.pow(F.lit(2.0), attempt) if exponential else attempt + 1), F.lit(most))
+    return wait if jitter is None else wait * (F.lit(0.5) + jitter / 2)

@@ -12,14 +12,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranking import placed
 
-def upsert_documents(stored: DataFrame, incoming: DataFrame, key: str = "id", kept: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Incoming rows replace stored ones of their key, except for the columns ``kept``; the last of several incoming rows counts."""
-    own = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc("_order"))
-    rows = stored.withColumns({"_new": F.lit(0), "_order": F.lit(0).cast("long")}).unionByName(incoming.withColumns({"_new": F.lit(1), "_order": F.monotonically_increasing_id()}))
-    whole = Window.partitionBy(key)
-    first = {c: F.coalesce(F.max(F.when(F.col("_new") == 0, F.col(c))).over(whole), F.col(c)) for c in kept}
-    return rows.withColumns(first).withColumn("_place", F.row_number().over(own)).where("_place = 1").drop("_new", "_order", "_place")
+
+def upsert_documents(stored: DataFrame, incoming: DataFrame, key: str = "id", kept: tuple[str, ...] = ("created_at",), order: Column | None = None) -> DataFrame:
+    """Incoming rows replace stored ones of their key, except for the columns ``kept``.
+
+    Of several incoming rows the one with the greatest ``order`` counts (else the greatest in
+    all its columns, so the result doesn't depend on the order of rows). Stored rows have one
+    row a key; null keys match nothing.
+    """
+    others = [c for c in stored.columns if c != key]
+    rank = F.struct(*([order] if order is not None else []), *others)
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("_new"))
+    rows = stored.join(last, key, "full_outer")
+    new = lambda c: F.col(f"_new.{c}")
+    value = lambda c: F.coalesce(F.col(c), new(c)) if c in kept else F.when(F.col("_new").isNotNull(), new(c)).otherwise(F.col(c))
+    return rows.select(*(F.col(c) if c == key else value(c).alias(c) for c in stored.columns))
 
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -54,6 +63,24 @@ def matching(documents: DataFrame, **parts: str) -> DataFrame:
     return out
 
 
+def lookup(documents: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Documents whose ``column`` (id, file_hash) is among the wanted ones; null is never found."""
+    return documents.join(wanted.select(column).distinct(), column, "left_semi").select(*documents.columns)
+
+
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with their ``place`` (from 1) in their document: by chunk_index, then id."""
+    return placed(chunks, "document_id", [F.asc_nulls_first("chunk_index"), F.asc("id")]).drop("total")
+
+
+def cases_of(cases: DataFrame, category: str | None = None, difficulty: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Evaluation cases of a category, difficulty or among ids."""
+    for column, value in (("category", category), ("difficulty", difficulty)):
+        if value is not None:
+            cases = cases.where(F.col(column) == value)
+    return cases if ids is None else cases.where(F.col("id").isin(ids))
+
+
 def page(documents: DataFrame, offset: int, limit: int) -> DataFrame:
     """Newest first; equal times by id."""
     return documents.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)

@@ -61,9 +61,11 @@ def chunk_totals(spark, root):
 
 
 def crawl_groups(spark, root):
-    """Records and slugs of each crawl group."""
-    rows = registry(spark, root).where(F.col("source_url").rlike("^https?://[a-z0-9./-]+$"))
-    return rows.groupBy(T.crawl_group(F.col("source_url")).alias("crawl_group")).agg(F.count("*").alias("n"), F.min(T.slug(F.col("source_url"))).alias("slug"))
+    """Records and slugs of each crawl group; each URL also with a user, port, capitals, query and fragment."""
+    url = F.col("source_url")
+    dressed = F.concat(F.replace(F.replace(url, F.lit("://www."), F.lit("://user:key@WWW.")), F.lit(".example/"), F.lit(".example:8443/A%20b/")), F.lit("/Page_1.HTML?q=a/b&r=1#top/end"))
+    rows = registry(spark, root).select(F.explode(F.array(url, dressed, F.concat(url, F.lit("/index.html/")))).alias("url")).where("url is not null")
+    return rows.groupBy(T.crawl_group(F.col("url")).alias("crawl_group")).agg(F.count("*").alias("n"), F.min(T.slug(F.col("url"))).alias("slug"))
 
 
 def validate_files(spark, root):
@@ -171,8 +173,11 @@ SQL = {
     "documents_page": "SELECT id, filename, epoch_us(created_at) AS created_at FROM (SELECT id, filename, created_at FROM doc_registry ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 40)",
     "find_like": "SELECT id, filename FROM doc_registry WHERE filename LIKE '%-limit%' AND mime_type LIKE '%html%'",
     "chunk_totals": "SELECT d.id, chunk_count, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_indexed, 0)::BIGINT AS n_indexed, coalesce(tokens, 0)::BIGINT AS tokens FROM doc_registry d LEFT JOIN (SELECT document_id, count(DISTINCT id) AS n_chunks, count(*) FILTER (indexed) AS n_indexed, sum(token_count) AS tokens FROM chunks GROUP BY 1) c ON c.document_id = d.id",
-    "crawl_groups": """WITH r AS (SELECT source_url, regexp_extract(source_url, '^https?://([^/]+)', 1) AS host, list_filter(string_split(regexp_extract(source_url, '^https?://[^/]+(.*)$', 1), '/'), lambda p: p != '') AS path FROM doc_registry WHERE regexp_matches(source_url, '^https?://[a-z0-9./-]+$'))
-        SELECT array_to_string(list_concat([replace(host, '.', '-')], CASE WHEN path[-1] IN ('index', 'index.html') THEN path[:-2] ELSE path END), '-') AS crawl_group, count(*) AS n, min(CASE WHEN len(path) = 0 THEN 'index' ELSE regexp_replace(path[-1], '[^a-z0-9_-]', '-', 'g') END) AS slug FROM r GROUP BY 1""",
+    "crawl_groups": """WITH u AS (SELECT unnest([source_url, replace(replace(source_url, '://www.', '://user:key@WWW.'), '.example/', '.example:8443/A%20b/') || '/Page_1.HTML?q=a/b&r=1#top/end', source_url || '/index.html/']) AS url FROM doc_registry),
+        r AS (SELECT regexp_extract(url, '^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS whole FROM u WHERE url IS NOT NULL),
+        s AS (SELECT host, regexp_replace(whole, '/+$', '') AS bare, list_filter(string_split(whole, '/'), lambda p: p != '') AS path FROM r)
+        SELECT array_to_string(list_concat([replace(host, '.', '-')], CASE WHEN path[-1] IN ('index', 'index.html') THEN path[:-2] ELSE path END), '-') AS crawl_group, count(*) AS n,
+        min(CASE WHEN regexp_extract(bare, '([^/]*)$', 1) = '' THEN 'index' ELSE lower(regexp_replace(regexp_extract(bare, '([^/]*)$', 1), '[^\\p{L}\\p{N}_-]', '-', 'g')) END) AS slug FROM s GROUP BY 1""",
     "validate_files": f"SELECT rec_id, CASE WHEN coalesce(filename, '') = '' THEN 'File not found' WHEN size_bytes IS NULL OR size_bytes <= 0 THEN 'File is empty' WHEN size_bytes > 20000 THEN 'File too large' WHEN lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) NOT IN ({_KINDS}) THEN 'Unsupported file type' END AS error, CASE lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in files.KINDS.items())} END AS kind FROM doc_registry",
     "cache_join": "SELECT content IN (SELECT content FROM index_chunks WHERE content IS NOT NULL) AS hit, count(*) AS n FROM (SELECT DISTINCT content FROM chunks WHERE content IS NOT NULL) GROUP BY 1",
     "csv_row_text": "SELECT p_partkey, concat_ws(' | ', " + ", ".join(f"'{c}: ' || nullif({c}::VARCHAR, '')" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + ") AS text FROM part",

@@ -72,9 +72,9 @@ def bm25_filtered(spark, root):
 
 
 def bm25_multifield(spark, root):
-    """The better of the scores of text and title."""
+    """The better of the scores of text and title; the best ten of both are among the best ten of each."""
     d, q = docs(spark, root), cases(spark, root)
-    both = R.bm25(d, q, None).select("query_id", "id", "score").unionByName(R.bm25(d, q, None, text="title").select("query_id", "id", "score"))
+    both = R.bm25(d, q, 10).select("query_id", "id", "score").unionByName(R.bm25(d, q, 10, text="title").select("query_id", "id", "score"))
     return big(R.merge_variants(both, 10))
 
 
@@ -83,13 +83,9 @@ def vector_batch(spark, root):
 
 
 def vector_filtered(spark, root):
-    """Only vectors of the query's own label: one search for all labels, filtered before the cut."""
-    v, q = vectors(spark, root), vector_queries(spark, root)
-    parts = None
-    for label in range(10):
-        one = R.vector_search(v.where(F.col("label") == label), q.where(F.col("query_label") == label), 5)
-        parts = one if parts is None else parts.unionByName(one)
-    return big(parts)
+    """Only vectors of the query's own label are candidates."""
+    queries = vector_queries(spark, root).withColumnRenamed("query_label", "label")
+    return big(R.vector_search(vectors(spark, root), queries, 5, same="label"))
 
 
 def vector_threshold(spark, root):
@@ -150,8 +146,8 @@ def enrich(spark, root):
 
 def _judged(spark, root):
     """``(asked, found, relevant)``: the cases, their keyword results, and as relevant the
-    documents that hold the last word of the query, the subject's name."""
-    asked = cases(spark, root).select("query_id", "query").where(F.col("query").rlike(r"[A-Za-z]+[?.]*$"))
+    documents that hold the last word of the query, the subject's name; none without a name."""
+    asked = cases(spark, root).select("query_id", "query")
     named = asked.select("query_id", F.lower(F.regexp_extract("query", r"([A-Za-z]+)[?.]*$", 1)).alias("name"))
     d = docs(spark, root)
     words = d.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("name"))
@@ -220,7 +216,7 @@ CASES = "cases AS (SELECT id AS query_id, query, category, expected_answer FROM
 LISTS = f"{TITLES}, {bm25_sql('titles', k=20)}, {vector_sql(20)}, lists AS (SELECT query_id, 'bm25' AS retriever, id, score, rank FROM bm25 UNION ALL SELECT query_id, 'vector', id, score, rank FROM vec)"
 RANKED = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM"
 RRF = "(SELECT query_id, id, round(sum({w} / (60.0::DOUBLE + rank)), 6) AS score FROM lists {where} GROUP BY ALL)"
-JUDGED = f"""asked AS (SELECT id AS query_id, query FROM eval_cases WHERE regexp_matches(query, '[A-Za-z]+[?.]*$')),
+JUDGED = f"""asked AS (SELECT id AS query_id, query FROM eval_cases),
 {bm25_sql('asked')}, found AS (SELECT * FROM bm25),
 rel AS (SELECT a.query_id, d.id FROM (SELECT DISTINCT doc_id AS id, unnest({TOK.format('text')}) AS name FROM documents) d JOIN asked a ON d.name = lower(regexp_extract(query, '([A-Za-z]+)[?.]*$', 1)))"""
 METRICS = JUDGED + ", " + E.METRICS_SQL
@@ -234,7 +230,7 @@ SQL = {
     "bm25_filtered": f"WITH {CASES}, {bm25_sql('cases', keep='''coalesce(lang = 'en', false)''', k=5)} SELECT * FROM bm25",
     "bm25_multifield": f"WITH {CASES}, {bm25_sql('cases', 'bt', k=None)}, {bm25_sql('cases', 'bh', text='title', k=None)} {RANKED} (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM bt UNION ALL SELECT query_id, id, score FROM bh) GROUP BY ALL) QUALIFY rank <= 10",
     "vector_batch": f"WITH {vector_sql(10)} SELECT * FROM vec",
-    "vector_filtered": f"WITH {vector_sql(5, condition='q.label = c.label AND q.label BETWEEN 0 AND 9')} SELECT * FROM vec",
+    "vector_filtered": f"WITH {vector_sql(5, condition='q.label = c.label')} SELECT * FROM vec",
     "vector_threshold": f"WITH {vector_sql(10, threshold='score >= 0.35')} SELECT * FROM vec",
     "rrf_fusion": f"WITH {LISTS} {RANKED} {RRF.format(w='1.0::DOUBLE', where='')}",
     "rrf_weighted": f"WITH {LISTS} {RANKED} {RRF.format(w='''CASE retriever WHEN 'bm25' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END''', where='')}",

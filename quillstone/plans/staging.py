@@ -15,9 +15,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset: a temporary one in local mode, an error on a cluster, whose machines share none."""
     known = spark.conf.get(SETTING, None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set(SETTING, known)
     return known.rstrip("/")

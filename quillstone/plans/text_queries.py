@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.functions.synonyms import SYNONYMS
 from quillstone.operators import chunking as C
 from quillstone.operators import evaluation as E
 from quillstone.operators import generation as G
 from quillstone.operators import retrieval as R
 from quillstone.operators import routing
 from quillstone.plans.retrieval_queries import bm25_sql, cases, docs
+from quillstone.plans.staging import stage
 from quillstone.sources.tables import table
 
 
@@ -35,7 +35,7 @@ def messy(column):
 
 
 clean_controls = _cleaned(lambda c: T.strip_controls(messy(c)))
-clean_whitespace = _cleaned(lambda c: F.regexp_replace(F.regexp_replace(messy(c), r"[\t\x0b\f\r ]+", " "), r" ?(?=\n|\z)", ""))
+clean_whitespace = _cleaned(lambda c: T.normalize_whitespace(messy(c)))
 clean_blank_lines = _cleaned(lambda c: T.collapse_blank_lines(messy(c)))
 clean_page_artifacts = _cleaned(lambda c: T.join_broken_lines(messy(c)))
 clean_entities = _cleaned(lambda c: T.unescape_common(c))
@@ -90,10 +90,6 @@ def query_route(spark, root):
     return routing.route(_asked(spark, root).distinct(), "query").select("id", "query", "strategy", "top_k", "rerank")
 
 
-def query_expand(spark, root):
-    return _asked(spark, root).distinct().select("id", "query", T.expand_synonyms(F.col("query"), SYNONYMS).alias("expanded"))
-
-
 def query_variants(spark, root):
     q = F.col("query")
     rows = cases(spark, root).where("query != ''")
@@ -115,9 +111,10 @@ def chunk_windows(spark, root):
 
 def context_budget(spark, root):
     """Of each source's documents in order of id the distinct ones that fit a budget of words."""
-    d = docs(spark, root).where("text is not null and source is not null").select(F.col("source").alias("query_id"), "id", "text", (-F.col("id")).cast("double").alias("score"))
-    fit = G.within_budget(G.distinct_content(d), 4076)
-    return fit.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("id").alias("last_id"))
+    d = docs(spark, root).where("text is not null and source is not null")
+    sized = d.select(F.col("source").alias("query_id"), "id", T.word_count(F.col("text")).cast("bigint").alias("size"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
+    once = sized.groupBy("query_id", "h").agg(F.min(F.struct("id", "size")).alias("r")).select("query_id", "r.*", (-F.col("r.id")).cast("double").alias("score"))
+    return G.running_budget(once, 4076).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("id").alias("last_id"))
 
 
 def context_build(spark, root):
@@ -149,7 +146,7 @@ def _pairs(spark, root):
 
 def text_metrics(spark, root):
     score = lambda c: F.round(c.cast("double"), 6)
-    pairs = _pairs(spark, root)
+    pairs = stage(_pairs(spark, root), "pairs")
     jaccard = pairs.select("query_id", score(E.word_overlap(F.col("answer"), F.col("reference"))).alias("overlap"))
     return E.overlaps(pairs).join(jaccard, "query_id").select("query_id", score(E.rouge1()).alias("rouge1"), "overlap", score(E.bleu()).alias("bleu"))
 
@@ -165,7 +162,7 @@ def hallucination_rate(spark, root):
 QUERIES = {
     "clean_controls": clean_controls, "clean_whitespace": clean_whitespace, "clean_blank_lines": clean_blank_lines, "clean_page_artifacts": clean_page_artifacts,
     "clean_entities": clean_entities, "clean_chain": clean_chain, "clean_stats": clean_stats, "html_text": html_text, "query_normalize": query_normalize,
-    "query_type": query_type, "query_classify": query_classify, "query_route": query_route, "query_expand": query_expand, "query_variants": query_variants,
+    "query_type": query_type, "query_classify": query_classify, "query_route": query_route, "query_variants": query_variants,
     "sentence_split": sentence_split, "chunk_documents": chunk_documents, "chunk_windows": chunk_windows, "context_budget": context_budget,
     "context_build": context_build, "prompt_build": prompt_build, "citations": citations, "text_metrics": text_metrics, "rouge_l": rouge_l,
     "hallucination_rate": hallucination_rate,
@@ -202,7 +199,7 @@ SQL = {
         o AS (SELECT query_id, known, {MEANING('sentence')} AS own FROM (SELECT query_id, known, unnest(s) AS sentence FROM w)),
         b AS (SELECT query_id, count(*) AS n, count(*) FILTER (len(own) > 0 AND len(list_filter(own, lambda x: NOT list_contains(known, x))) > len(own) * 0.5) AS bad FROM o GROUP BY query_id)
         SELECT query_id, coalesce(round(bad / n, 6), 0.0::DOUBLE) AS rate FROM pairs LEFT JOIN b USING (query_id)""",
-    "clean_whitespace": CLEANED.format(f"regexp_replace(regexp_replace(regexp_replace({MESSY}, '[\\t\\x0b\\f\\r ]+', ' ', 'g'), ' \\n', chr(10), 'g'), ' $', '')"),
+    "clean_whitespace": CLEANED.format(f"regexp_replace(regexp_replace(regexp_replace({MESSY}, '[\\t\\x0b\\f\\r\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'), ' \\n', chr(10), 'g'), ' $', '')"),
     "clean_blank_lines": CLEANED.format(BLANKS),
     "clean_page_artifacts": CLEANED.format(f"regexp_replace(regexp_replace({MESSY}, '({WD})-\\n({WD})', '\\1\\2', 'g'), '({WD})\\n([a-z])', '\\1\\2', 'g')"),
     "clean_entities": CLEANED.format("replace(replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"),

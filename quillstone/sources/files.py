@@ -23,6 +23,8 @@ KINDS = {
     ".csv": "text/csv",
 }
 LARGEST = 100 << 20
+# Fixed value: what a heading of Markdown is.
+_HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 
 
 def suffix(name: Column) -> Column:
@@ -42,6 +44,26 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return rows.select("path", "name", "length", "content", "kind", F.sha2("content", 256).alias("file_hash"), error.alias("error"))
 
 
+def table_text(table: Column) -> Column:
+    """An array of rows of cells as text: the first row, 40 dashes, the others; empty for none, null cells are empty."""
+    lines = F.transform(table, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    return F.when(F.size(table) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.lit("-" * 40)), rest), "\n")).otherwise("")
+
+
+def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, pos, level, title, offset)`` of each heading, offset in characters; null texts have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = [(k, i, len(m[1]), m[2], m.start()) for k, v in zip(rows["key"], rows["text"]) if v for i, m in enumerate(_HEADING.finditer(v))]
+            yield pd.DataFrame(out, columns=["key", "pos", "level", "title", "offset"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"key {kind}, pos int, level int, title string, offset int").withColumnRenamed("key", key)
+
+
 def row_text(rows: DataFrame, key: str) -> DataFrame:
     """Each row as ``column: value | column: value`` of its non-empty values."""
     parts = (F.concat(F.lit(f"{c}: "), F.nullif(F.col(c).cast("string"), F.lit(""))) for c in rows.columns)
@@ -56,7 +78,12 @@ def _docx(data: bytes) -> tuple[str, str | None]:
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
-        lines = ["".join(t.text or "" for t in p.iter(f"{space}t")) for p in body.iter(f"{space}p")]
+        words = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
+        inside = {id(p) for tbl in body.iter(f"{space}tbl") for p in tbl.iter(f"{space}p")}
+        lines = [words(p) for p in body.iter(f"{space}p") if id(p) not in inside]
+        for tbl in body.iter(f"{space}tbl"):
+            first, *rest = ([words(c) for c in row.iter(f"{space}tc")] for row in tbl.iter(f"{space}tr"))
+            lines.append("\n".join([" | ".join(first), "-" * 40, *(" | ".join(r) for r in rest)]))
         title = None
         if "docProps/core.xml" in z.namelist():
             core = ElementTree.fromstring(z.read("docProps/core.xml"))
@@ -80,8 +107,8 @@ def _html(data: bytes) -> tuple[str, str | None]:
 
 def _plain(data: bytes) -> tuple[str, str | None]:
     text = data.decode("utf-8-sig", "replace")
-    heading = re.search(r"^#{1,6}\s+(.+)$", text, re.M)
-    return text, heading[1].strip() if heading else None
+    heading = _HEADING.search(text)
+    return text, heading[2].strip() if heading else None
 
 
 PARSERS = {".txt": _plain, ".md": _plain, ".html": _html, ".htm": _html, ".csv": _csv, ".docx": _docx}

@@ -1,11 +1,12 @@
 """Reading level of documents, from their sentences.
 
-Every sentence gets a distribution over the levels from two regularised models, of its
-words and of the character groups in them. A document's distribution is the mean over its
-sentences, weighted by words, so fragments of another level don't move it; a calibration
-fitted on labelled documents maps it to a level. The models are naive log-linear ones,
-fitted by Spark counts: labels of documents give first sentence labels, sentences are
-labelled anew by the fitted model, and the counts are taken again.
+Every sentence gets a distribution over the levels from two regularised models, one of its
+words and one of the character groups in them, each with its own features and rates. A
+document's distribution is the mean over its sentences, weighted by words, so fragments of
+another level don't move it; a calibration fitted on labelled documents that the models
+haven't seen maps it to a level. The models are naive log-linear ones, fitted by Spark
+counts: labels of documents give first sentence labels, sentences are labelled anew by the
+fitted model, and the counts are taken again.
 """
 
 from __future__ import annotations
@@ -20,19 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.words import fold
+from quillstone.plans.staging import drop, stage
 
 LEVELS = 3
 #: Documents with fewer words have no level.
 LEAST_WORDS = 20
-#: Hashed features; the fitted weights are an array of this many rows, whatever the corpus.
+#: Hashed features of each model; the fitted weights are an array of twice as many rows, whatever the corpus.
 FEATURES = 1 << 18
 #: Labelled documents used for fitting, at most (the smallest hashes of their ids).
 SAMPLE = 8_000
 #: Additive smoothing of feature counts and the largest weight a feature may have.
 SMOOTH, LARGEST = 0.5, 3.0
-#: Weight of the character groups of a word beside the word itself.
+#: Weight of the model of characters beside that of words.
 CHARACTERS = 0.15
 ROUNDS = 3
+#: One of so many labelled documents is kept from the models for the calibration.
+HELD_OUT = 4
 PAIR = 9
 
 #: Remembered words of a task; beyond it the memory starts afresh (results do not change).
@@ -48,15 +52,16 @@ def number(name: str) -> int:
 
 
 def features(word: str) -> np.ndarray:
-    """Of a word: itself, its ending, its length, its character groups."""
+    """Of a word: itself for the model of words; its ending, its length, its character groups for that of characters."""
     grams = {f"c{word[i : i + 4]}" for i in range(len(word) - 3)} if len(word) > 4 else set()
-    return np.array([number(n) for n in (f"w{word}", f"e{word[-4:]}", f"l{min(len(word), 16)}", *sorted(grams))], np.int64)
+    own = [FEATURES + number(n) for n in (f"e{word[-4:]}", f"l{min(len(word), 16)}", *sorted(grams))]
+    return np.array([number(f"w{word}"), *own], np.int64)
 
 
 class Reader:
     """Texts as arrays: items (words, others, sentence breaks) and pairs of short words, with what was learned of each.
 
-    Code doesn't count, nor identifiers and numbers. ``weights`` (FEATURES x LEVELS) give each
+    Code doesn't count, nor identifiers and numbers. ``weights`` (2 FEATURES x LEVELS) give each
     item its share of the levels' log scores.
     """
 
@@ -152,7 +157,7 @@ def labels_of(labels: DataFrame, key: str, level: str, rater: str, sample: int =
 
 
 def feature_counts(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
-    """Weighted counts (FEATURES x LEVELS) over the labelled documents ``(text, level)``.
+    """Weighted counts (2 FEATURES x LEVELS) over the labelled documents ``(text, level)``.
 
     A sentence counts for its document's level, or with ``weights`` for the levels in
     proportion to the model's and the document's opinion of it. Each task adds up its
@@ -161,7 +166,7 @@ def feature_counts(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((LEVELS, FEATURES))
+        total = np.zeros((LEVELS, 2 * FEATURES))
         reader = Reader(shared.value)
         for batch in batches:
             for text, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -181,14 +186,14 @@ def feature_counts(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[k, at]) for k in range(LEVELS))], ["f", "n1", "n2", "n3"])
 
     rows = docs.select("text", "level").mapInArrow(run, "f int, n1 double, n2 double, n3 double").groupBy("f").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3))).toPandas()
-    counts = np.zeros((FEATURES, LEVELS))
+    counts = np.zeros((2 * FEATURES, LEVELS))
     counts[rows["f"].to_numpy(np.int64)] = rows[["n1", "n2", "n3"]].to_numpy()
     return counts
 
 
 def fit(counts: np.ndarray) -> np.ndarray:
     """Smoothed log ratios against the mean over levels, shrunk where there is little evidence, and clipped."""
-    rate = (counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * FEATURES)
+    rate = np.concatenate([(c + SMOOTH) / (c.sum(axis=0) + SMOOTH * FEATURES) for c in np.split(counts, 2)])
     weights = np.log(rate)
     weights -= weights.mean(axis=1, keepdims=True)
     seen = counts.sum(axis=1, keepdims=True)
@@ -226,14 +231,20 @@ def distributions(docs: DataFrame, key: str, text: str, weights: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, level: str = "reading_level", rater: str = "rater") -> tuple[np.ndarray, np.ndarray] | None:
     """Sentence weights and calibration, or null without labelled documents."""
     known = labels_of(labels, key, level, rater)
-    labelled = docs.select(key, F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(known), key).select(key, "text", "level")
+    held = F.pmod(F.xxhash64(key, F.lit("held")), F.lit(HELD_OUT)) == 0
+    labelled = docs.select(key, F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(known), key).select(key, "text", "level", held.alias("held"))
+    labelled = stage(labelled, "labelled")
+    own = labelled.where("not held")
+    if own.isEmpty():
+        own = labelled
     weights = None
     for _ in range(ROUNDS):
-        counts = feature_counts(labelled, weights)
+        counts = feature_counts(own, weights)
         if not counts.any():
             return None
         weights = fit(counts)
-    sample = distributions(labelled, key, "text", weights).join(F.broadcast(known.withColumnRenamed(key, "key")), "key").where(F.col("words") >= LEAST_WORDS).toPandas()
+    sample = distributions(labelled.where("held"), key, "text", weights).join(F.broadcast(known.withColumnRenamed(key, "key")), "key").where(F.col("words") >= LEAST_WORDS).toPandas()
+    drop(labelled)
     return weights, calibrate(sample[["p1", "p2", "p3"]].to_numpy(), sample["level"].to_numpy(np.int64))
 
 

@@ -2,8 +2,9 @@
 
 The test passages are the stated query set: a measured, broadcast block at a time they
 are held against every document in one scan, without a shuffle. Runs are followed from
-the rarest word of each span of a passage; a passage of whose rarest words a document
-has as many as 60 % in order can't do without gets the exact check in every stretch.
+the word of each span of a passage that the fewest passages have. For 60 % in order, the words in common with each
+passage are counted as arrays, first over the whole document, then over all its
+stretches at once; where there are enough the exact check follows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,14 @@ RUN, SHARE = 15, 0.6
 STRETCH = 1.25
 #: Shortest marked run.
 TILE = 2
-#: Share of the words needed in order that a document must already hold among the passage's rarest.
-DEPTH = 0.5
-#: Seeds: of any SPAN consecutive passage words the PICK rarest in the corpus.
+#: Seeds: of any SPAN consecutive passage words the PICK that are in the fewest passages.
 SPAN, PICK = RUN, 2
 #: Whole passages of fewer words are short phrases, not leaks.
 SHORTEST = 3
 #: Passages in one broadcast block.
 BLOCK = 20_000
+#: Bytes of a block's table of words and passages; without it every passage with enough words in the document is checked.
+TABLE = 64 << 20
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\]\([^()\s]*\)")
 _UNSEEN = re.compile("[­​-‍⁠﻿]")
@@ -115,11 +117,39 @@ def needed(n: int) -> int:
     return math.ceil(round(SHARE * n, 6))
 
 
-def rare_share(pattern: Sequence[str], counts: dict[str, int]) -> tuple[dict[str, int], int]:
-    """How often the rarest words occur in the passage, and how many of these a text with SHARE of the passage's words holds at least."""
-    need = needed(len(pattern))
-    least = math.ceil(round(need * DEPTH, 6))
-    return Counter(sorted(pattern, key=lambda w: (counts.get(w, 0), w))[: len(pattern) - need + least]), least
+def stretch_counts(text: np.ndarray, at: np.ndarray, budget: np.ndarray, width: int) -> np.ndarray:
+    """How many words of the passage each stretch ``text[i : i + width]`` holds, none more often than the passage.
+
+    ``at`` has the places of its words, ``budget`` how often each is in it. An occurrence counts in the stretches that
+    begin after the occurrence of its word so many before it, which is a range of starts.
+    """
+    word = text[at]
+    order = np.argsort(word, kind="stable")
+    word, at = word[order], at[order]
+    before = np.arange(len(at)) - budget[word]
+    same = (before >= 0) & (word[before] == word)
+    low = np.maximum(np.where(same, at[before], -1), at - width)
+    return np.cumsum(np.bincount(low + 1, minlength=len(text) + 1) - np.bincount(at + 1, minlength=len(text) + 1))[: len(text)]
+
+
+def in_stretch(pattern: np.ndarray, text: np.ndarray, budget: np.ndarray) -> bool:
+    """Whether some stretch of about the passage's length holds SHARE of its words in order."""
+    n = len(pattern)
+    need, width = needed(n), int(STRETCH * n)
+    at = budget[text].nonzero()[0]
+    good = np.flatnonzero(stretch_counts(text, at, budget, width) >= need)
+    if not len(good):
+        return False
+    order, own = pattern.tolist(), text[at]
+
+    def ordered(start: int, end: int) -> bool:
+        return in_order(order, own[slice(*np.searchsorted(at, (start, end)))].tolist()) >= need
+
+    for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+        # no stretch of a run has more in order than the run
+        if ordered(run[0], run[-1] + width) and any(ordered(i, i + width) for i in run.tolist()):
+            return True
+    return False
 
 
 def run_at(pattern: Sequence[str], o: int, text: Sequence[str], i: int) -> int:
@@ -139,29 +169,56 @@ def held(pattern: Sequence[str], text: Sequence[str]) -> bool:
     longest = max((k for _, _, k in marked), default=0)
     if longest == n and n >= SHORTEST or longest >= RUN:
         return True
-    return n >= RUN and in_stretch(pattern, text)
-
-
-def in_stretch(pattern: Sequence[str], text: Sequence[str]) -> bool:
-    """Whether some stretch of about the passage's length holds SHARE of its words in order."""
-    n = len(pattern)
-    need, width = needed(n), int(STRETCH * n)
-    budget = Counter(pattern)
-    have, common = Counter(), 0
-    for i in range(len(text) + 1):
-        if i == len(text) or i >= width:
-            if common >= need and in_order(pattern, text[max(0, i - width) : i]) >= need:
-                return True
-        if i == len(text):
-            return False
-        w = text[i]
-        have[w] += 1
-        common += have[w] <= budget[w]
-        if i >= width:
-            old = text[i - width]
-            common -= have[old] <= budget[old]
-            have[old] -= 1
-    return False
+    return n >= RUN and Passages([(0, list(pattern))]).scattered(text, set()) == [0]
+
+
+class Passages:
+    """Passages of at least RUN words as arrays of word numbers, to be counted in a text all at once."""
+
+    def __init__(self, patterns: list[tuple[int, list[str]]]):
+        self.numbers: dict[str, int] = {}
+        self.at = [k for k, (_, p) in enumerate(patterns) if len(p) >= RUN]
+        self.words = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in patterns[k][1]], np.int64) for k in self.at]
+        parts = [np.unique(w, return_counts=True) for w in self.words]
+        self.word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in parts)])
+        self.times = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+        self.starts = np.cumsum([0, *(len(w) for w, _ in parts)])
+        self.needed = np.array([needed(len(w)) for w in self.words], np.int64)
+        self.width = np.array([int(STRETCH * len(w)) for w in self.words], np.int64)
+        self.table = None  # whether a passage has a word
+        if len(self.at) * (len(self.numbers) + 1) <= TABLE:
+            self.table = np.zeros((len(self.at), len(self.numbers) + 1), bool)
+            self.table[np.repeat(np.arange(len(parts)), np.diff(self.starts)), self.word] = True
+
+    def scattered(self, found: Sequence[str], known: set[int]) -> list[int]:
+        """Places of the passages, but for the ``known`` ones, of which the text holds SHARE of the words in order in a stretch."""
+        if not self.at:
+            return []
+        none = len(self.numbers)
+        number = self.numbers.get
+        text = np.array([number(w, none) for w in found], np.int64)
+        own = np.bincount(text, minlength=none + 1)
+        common = np.add.reduceat(np.minimum(own[self.word], self.times), self.starts[:-1])
+        budget = np.zeros(none + 1, np.int64)
+        out = []
+        some = np.flatnonzero(common >= self.needed)
+        for i in some[self.dense(some, text)].tolist():
+            if self.at[i] not in known:
+                part = slice(self.starts[i], self.starts[i + 1])
+                budget[self.word[part]] = self.times[part]
+                if in_stretch(self.words[i], text, budget):
+                    out.append(self.at[i])
+                budget[self.word[part]] = 0
+        return out
+
+    def dense(self, some: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Which of the passages ``some`` have enough words in one stretch of the text, those too often there included; all, if the table of words would be too large."""
+        if self.table is None:
+            return np.ones(len(some), bool)
+        held = np.zeros((len(some), len(text) + 1), np.int32)
+        np.cumsum(self.table[some[:, None], text], axis=1, out=held[:, 1:])
+        ends = np.minimum(np.arange(len(text)) + self.width[some][:, None], len(text))
+        return (np.take_along_axis(held, ends, 1) - held[:, :-1] >= self.needed[some][:, None]).any(axis=1)
 
 
 def seeds(pattern: Sequence[str], counts: dict[str, int]) -> dict[str, bool]:
@@ -173,39 +230,17 @@ def seeds(pattern: Sequence[str], counts: dict[str, int]) -> dict[str, bool]:
     return out
 
 
-def corpus_counts(docs: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
-    """In how many documents each word of the passages occurs; as many rows as the block has words."""
-    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts.update(wanted.value.intersection(plain_words(value)))
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    rows = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in rows.collect()}
-
-
 def search(docs: DataFrame, key: str, text: str, patterns: list[tuple[int, list[str]]]) -> DataFrame:
-    """``(key, passage)`` of one block of passages."""
-    counts = corpus_counts(docs, text, {w for _, p in patterns for w in p})
+    """``(key, passage)`` of one block of passages, in one scan."""
+    counts = Counter(w for _, p in patterns for w in set(p))
     index: dict[str, list[tuple[int, list[int], bool]]] = defaultdict(list)
     for k, (_, pattern) in enumerate(patterns):
         for w, rarest in seeds(pattern, counts).items():
             index[w].append((k, [i for i, x in enumerate(pattern) if x == w], rarest))
-    rare: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    least = [0] * len(patterns)
-    for k, (_, pattern) in enumerate(patterns):
-        if len(pattern) >= RUN:
-            some, least[k] = rare_share(pattern, counts)
-            for w, n in some.items():
-                rare[w].append((k, n))
-    shared = docs.sparkSession.sparkContext.broadcast((dict(index), patterns, dict(rare), least, [Counter(p) for _, p in patterns]))
+    shared = docs.sparkSession.sparkContext.broadcast((dict(index), patterns, Passages(patterns)))
 
     def leaks(found: list[str]) -> list[int]:
-        index, patterns, rare, least, bags = shared.value
+        index, patterns, passages = shared.value
         hits = set()
         for i in [i for i, w in enumerate(found) if w in index]:
             for k, offsets, one in index[found[i]]:
@@ -213,16 +248,7 @@ def search(docs: DataFrame, key: str, text: str, patterns: list[tuple[int, list[
                     n = len(patterns[k][1])
                     if any(run_at(patterns[k][1], o, found, i) >= min(n, RUN) for o in offsets):
                         hits.add(k)
-        own, shares = Counter(found), Counter()
-        for w in rare.keys() & own.keys():
-            have = own[w]
-            for k, n in rare[w]:
-                shares[k] += min(n, have)
-        for k, n in shares.items():
-            if n >= least[k] and k not in hits:
-                pattern = patterns[k][1]
-                if sum(min(c, own[w]) for w, c in bags[k].items() if w in own) >= needed(len(pattern)) and in_stretch(pattern, found):
-                    hits.add(k)
+        hits.update(passages.scattered(found, hits))
         return [patterns[k][0] for k in hits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,9 @@ QUERIES = {
     "p9_found": reading.p9_found,
 }
 
-#: None of these operators can be written as SQL over whole tables; tests hold them
-#: against brute force, exact round trips or held-out labels.
-SQL: dict[str, str] = {}
+#: The other operators can't be written as SQL over whole tables, or are approximate; tests
+#: hold them against brute force, exact round trips or held-out labels.
+SQL: dict[str, str] = {
+    "p4_found": """SELECT rec_id FROM doc_registry r JOIN chunking_settings s ON s.settings_id = coalesce(r.settings_id, 1)
+        WHERE len(list_filter(string_split_regex(content, '[ \\t\\n\\r]+'), lambda x: x != '')) > s.max_size""",
+}

@@ -137,3 +137,23 @@ def test_long_pair_of_few_and_many_rare_words(spark):
     rows = [(i, i % 2, " ".join(w)) for i, w in enumerate((few, many))]
     others = [(10 + i, i % 2, " ".join(common[i % 50 : i % 50 + 55] + [f"own{i}x{j}" for j in range(50)])) for i in range(150)]
     assert found(spark, rows + others) == {(0, 1)}
+
+
+def test_index_of_classes_and_repeated_batches(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [[rng.choice(vocabulary) for _ in range(200)] for _ in range(40)]
+    changed = [[f"new{i}x{j}" if j % 6 == i % 6 else w for j, w in enumerate(text)] for i, text in enumerate(base)]
+    rows = [(i, 0, " ".join(t)) for i, t in enumerate(base)] + [(100 + i, 1, " ".join(t)) for i, t in enumerate(changed)] + [(200 + i, 2, " ".join(base[i]).upper()) for i in range(40)]
+    table = spark.createDataFrame(rows, "rec long, batch int, content string")
+    index = H.Index(spark, "file://" + tempfile.mkdtemp(prefix="spark-") + "/index")
+    index.create(table.where("batch = 0"), "rec", "batch", "content")
+    first = {tuple(r) for r in index.accept(table.where("batch = 1"), "rec", "batch", "content").collect()}
+    again = {tuple(r) for r in H.Index(spark, index.path).accept(table.where("batch = 1"), "rec", "batch", "content").collect()}
+    assert first == again == {(i, 100 + i) for i in range(40)}
+    found = {tuple(r) for r in index.accept(table.where("batch = 2"), "rec", "batch", "content").collect()}
+    assert found == {(i, 200 + i) for i in range(40)} | {(100 + i, 200 + i) for i in range(40)}
+    assert {tuple(r) for r in index.links().collect()} == {(i, 100 + i) for i in range(40)}
+    assert {(r.rec, r["class"]) for r in index.members().collect() if r.batch == 2} == {(200 + i, i) for i in range(40)}
+    index.close()
+    assert len({tuple(r) for r in index.pairs().collect()}) == 120

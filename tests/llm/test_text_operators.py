@@ -125,3 +125,50 @@ def test_leak_whose_rare_words_are_swapped(spark):
     docs = [(1, "start " * 40 + " ".join(copy) + " end" * 40), (2, " ".join(passage[::-1]))] + [(10 + i, " ".join(usual[::-1])) for i in range(4)]
     got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("c", " ".join(passage))], "id string, expected_answer string"))
     assert [tuple(r) for r in got.collect()] == [(1, "c")]
+
+
+def damaged_as(text, true, wrong):
+    return "".join(bytes((b,)).decode(wrong, "ignore") or chr(b) for b in text.encode(true))
+
+
+def test_no_restoration_that_changes_nothing(spark):
+    line = "«Â» and «Ã» are capital letters, été"
+    rows = [(i, line) for i in range(10_000)] + [(20_000 + i, t) for i, t in enumerate(CLEAN * 20)]
+    got = E.repair(spark.createDataFrame(rows, "id long, text string"), "text")
+    assert got.where("damaged > 0").count() == 0
+
+
+def test_damaged_copies_do_not_outvote_the_rest(spark):
+    bad = damaged_as(CLEAN[1], "utf-8", "cp1252")
+    rows = [(i, bad) for i in range(3000)] + [(5000 + i, f"{CLEAN[1]} {i}") for i in range(4)]
+    got = E.repair(spark.createDataFrame(rows, "id long, text string"), "text").groupBy("restored", "damaged").count().collect()
+    assert {(r.restored, r["count"]) for r in got if r.damaged} == {(CLEAN[1], 3000)} and len(got) == 5
+
+
+def test_lost_bytes_inside_sequences(spark):
+    pair = damaged_as("é", "utf-8", "cp1252")
+    rows = [(i, t) for i, t in enumerate(CLEAN * 10)] + [(100, "r" + pair[0] + E.LOST + "sum" + E.LOST + pair[1] + " &eacute;t&eacute; &lt;b&gt;"), (101, "zz" + E.LOST + "zz x")]
+    got = {r.id: r for r in E.repair(spark.createDataFrame(rows, "id long, text string"), "text").collect()}
+    assert got[100].restored == "résumé &eacute;t&eacute; &lt;b&gt;" and got[100].lost > 0
+    assert got[101].restored == "zz" + E.LOST + "zz x" and got[101].damaged == 1
+    assert not any(got[i].damaged for i in range(40))
+
+
+def test_importance_is_entropy(spark):
+    rows = [(i, "h.example", f"Menu\nAbout us\n\n{passage(30, random.Random(i))}.\n\nSee also\n- {NAMES[i]} of {NAMES[i + 1]} here\n- {NAMES[i + 2]} at {NAMES[i + 3]} now") for i in range(200)]
+    rows += [(500 + i, f"small{i}.example", f"Twice here\n{passage(30, random.Random(900 + i // 2))} {i}.") for i in range(4)]
+    pages = spark.createDataFrame(rows, "rec long, host string, content string")
+    low = {r.node: r for r in P.tree(pages).collect() if r.host == "h.example"}
+    node = lambda t: low.get(P.node(t, "h"))
+    assert node("Menu").importance < 0.02 and node("See also").label and not node("Menu").label and node(f"{NAMES[0]} of {NAMES[1]} here") is None
+    got = {r.rec: r.removed for r in P.classified(pages, "rec", "host", "content").collect()}
+    assert all(got[i] == [1, 2, 6, 7, 8] for i in range(200)) and not any(got[500 + i] for i in range(4))
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    passages = [passage(30, rng) for _ in range(12)]
+    docs = spark.createDataFrame([(i, f"{passage(50, rng)} {p} {passage(50, rng)}") for i, p in enumerate(passages)], "doc_id long, text string")
+    cases = spark.createDataFrame([(f"c{i}", p) for i, p in enumerate(passages)], "id string, expected_answer string")
+    monkeypatch.setattr(L, "BLOCK", 5)
+    assert sorted(tuple(r) for r in L.leaks(docs, cases).collect()) == [(i, f"c{i}") for i in range(12)]

@@ -10,7 +10,7 @@ from quillstone.operators import evaluation as E
 from quillstone.operators import generation as G
 from quillstone.operators import retrieval as R
 from quillstone.operators import routing
-from quillstone.plans.retrieval_queries import bm25_sql, cases, docs
+from quillstone.plans.retrieval_queries import CASES, bm25_sql, cases, docs
 from quillstone.plans.staging import stage
 from quillstone.sources.tables import table
 
@@ -191,7 +191,16 @@ STRIPPED = lambda x: f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"  # noq
 SENTENCES = lambda x: f"list_filter(list_transform(string_split(regexp_replace({STRIPPED(x)}, '([.!?]){SPACE}', '\\1' || chr(57344), 'g'), chr(57344)), lambda s: {STRIPPED('s')}), lambda s: s != '')"
 MEANING = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in T.CONTENT_STOPWORDS)})))"
 
+CONTEXT = lambda k: f"""{CASES}, {bm25_sql('cases', k=k)},
+ d AS (SELECT query_id, id, score, text FROM bm25 JOIN documents ON doc_id = id QUALIFY row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY score DESC, id) = 1),
+ o AS (SELECT query_id, text, {WORDS.format('text')} AS ws, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM d),
+ c AS (SELECT query_id, place, CASE WHEN place = 1 AND len(ws) > 1980 THEN array_to_string(ws[1:1970], ' ') ELSE text END AS text, CASE WHEN place = 1 THEN least(len(ws), CASE WHEN len(ws) > 1980 THEN 1970 ELSE len(ws) END) ELSE len(ws) END AS size FROM o),
+ f AS (SELECT query_id, place, text FROM c QUALIFY sum(size) OVER (PARTITION BY query_id ORDER BY place) <= 1980),
+ built AS (SELECT query_id, '<context>' || chr(10) || string_agg('<source id="' || place || '">' || text || '</source>', chr(10) || chr(10) ORDER BY place) || chr(10) || '</context>' AS context, count(*) AS n_sources FROM f GROUP BY query_id)"""
+
 SQL = {
+    "context_build": f"WITH {CONTEXT(5)} SELECT query_id, md5(context) AS context, n_sources FROM built",
+    "prompt_build": f"WITH {CONTEXT(3)} SELECT query_id, md5('{G.SYSTEM}{G.CITE}' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query) AS prompt FROM built JOIN cases USING (query_id) WHERE query != ''",
     "clean_controls": CLEANED.format(f"regexp_replace({MESSY}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{{Cf}}\\p{{Co}}]', '', 'g')"),
     "sentence_split": f"SELECT id, (unnest(generate_series(1, len(s))) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT doc_id AS id, {SENTENCES('text')} AS s FROM documents WHERE text IS NOT NULL)",
     "citations": f"SELECT id, '[' || i || ']' AS marker, d[i] AS source, left(d[i], 200) AS snippet FROM (SELECT id, expected_documents AS d, unnest(generate_series(1, len({SENTENCES('expected_answer')}))) AS i FROM eval_cases WHERE expected_answer IS NOT NULL)",

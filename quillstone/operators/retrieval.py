@@ -94,7 +94,7 @@ def _scored(docs: DataFrame, weights: pa.Table, query_kind: str, k: int, share:
         names, place, ends, of, w = shared.value
         best = Best(n, k)
         for batch in batches:
-            for start in range(0, batch.num_rows, width):
+            for start in range(0, batch.num_rows if n else 0, width):
                 part = batch.slice(start, width)
                 lists = part.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
@@ -107,7 +107,7 @@ def _scored(docs: DataFrame, weights: pa.Table, query_kind: str, k: int, share:
                 times = ends[term + 1] - ends[term]
                 row = np.arange(times.sum()) + np.repeat(ends[term] - (np.cumsum(times) - times), times)
                 score = np.bincount(of[row] * part.num_rows + np.repeat(doc, times), w[row] * np.repeat(value, times), n * part.num_rows)
-                best.add(np.round(score, 6).reshape(n, -1), part.column(0), 0.0)
+                best.add(np.round(score, 6).reshape(n, part.num_rows), part.column(0), 0.0)
         yield from best.rows(names)
 
     return docs.mapInArrow(run, f"query_id {query_kind}, id {docs.schema['id'].dataType.simpleString()}, score double")

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -33,14 +34,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A stage and its number of rows, observed while it is written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return staged, seen.get["n"]
+
+
 def drop(*stages: DataFrame) -> None:
     """Delete stages that nothing will read again."""
     for df in stages:
         remove(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def _folder(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def make(spark: SparkSession, path: str) -> None:
+    """An empty folder, if there is none."""
+    system, path = _folder(spark, path)
+    system.mkdirs(path)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders of the shared folder."""
     for root in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _folder(spark, root)
+        system.delete(path, True)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstone.operators import chunking
+from quillstone.operators.ingest import cleaned
 from quillstone.sources import files
 
 
 def watch(spark: SparkSession, folder: str, registry: str, chunks: str, checkpoint: str, target: int = 512, most: int = 1024, overlap: int = 50) -> StreamingQuery:
-    """Start a stream that ingests each new file once, whatever its name: documents and chunks are appended to two tables.
+    """Start a stream that ingests each new file once, whatever its name: documents and chunks of the cleaned texts are appended to two tables.
 
     A batch repeated after a failure finds its hashes registered and adds nothing twice.
     """
@@ -27,7 +28,7 @@ def watch(spark: SparkSession, folder: str, registry: str, chunks: str, checkpoi
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         parsed = files.parse(rows).persist()
-        chunking.chunk(parsed.where("error is null"), "file_hash", "text", target, most, overlap).write.mode("append").parquet(chunks)
+        chunking.chunk(cleaned(parsed.where("error is null"), "text"), "file_hash", "text", target, most, overlap).write.mode("append").parquet(chunks)
         parsed.drop("text").withColumn("batch", F.lit(number)).write.mode("append").parquet(registry)
         parsed.unpersist()
 

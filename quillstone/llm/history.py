@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.words import words
-from quillstone.plans.broadcasting import broadcast_if_small
-from quillstone.plans.staging import drop, remove, shared_dir, stage
+from quillstone.plans.broadcasting import MAX_ROWS
+from quillstone.plans.staging import counted, drop, make, remove, shared_dir, stage
 
 #: Share of the longer record's words that must be shared.
 SIMILAR = 0.8
@@ -50,7 +50,7 @@ BUCKET_ROWS = 2_000_000
 #: Fixed value: SHA-256 of the empty file.
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 FLUSH = 500_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _CELL = np.uint64(0x9E3779B97F4A7C15), np.uint64(65 - CELLS.bit_length())
 
 
 class Hashes(dict):
@@ -94,13 +94,16 @@ def least_shared(n):
 
 
 def cell_of(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(44)).astype(np.int64) % CELLS
+    return (token >> _CELL).astype(np.int64)
 
 
 def rarest(token: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` rarest tokens; equally rare ones (``counts`` ends with the bound) in the order of their hashes."""
+    if len(token) <= n:
+        return token
     count = counts[cell_of(token)]
-    return token[np.lexsort((token, np.where(count > counts[-1], count, 0)))[:n]]
+    order = np.where(count > counts[-1], count, 0).astype(np.uint64) << np.uint64(32) | token >> np.uint64(32)
+    return token[np.argpartition(order, n)[:n]]
 
 
 def prefix(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -198,8 +201,8 @@ class Index:
     """
 
     #: Tables bucketed for their joins: name -> (columns, bucket column).
-    TABLES = {"postings": ("token long, n_words int, class long", "token"), "classes": ("sign binary, class long", "sign")}
-    FOLDERS = {"members": "rec long, class long, h string, none boolean", "links": "a long, c long", "bags": "class long, n_words int, bag binary"}
+    TABLES = {"postings": ("token long, n_words int, class long", "token"), "members": ("sign binary, rec long, class long", "sign")}
+    FOLDERS = {"files": "rec long, h string, none boolean", "links": "a long, c long", "bags": "class long, n_words int, bag binary"}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -220,8 +223,8 @@ class Index:
         postings = int(counts[:-1].sum(dtype=np.int64) * PREFIX)
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_ROWS))
         self.spark.createDataFrame([(buckets, counts.tobytes())], "buckets int, counts binary").write.parquet(f"{self.path}/frozen")
-        for folder, columns in self.FOLDERS.items():  # so that an index without batches can be read
-            self._write(self.spark.createDataFrame([], columns), folder, -1)
+        for folder in ("members", *self.FOLDERS):  # so that an index without batches can be read
+            make(self.spark, f"{self.path}/{folder}")
         return self.accept(history, key, batch, text, digest)
 
     def accept(self, records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:
@@ -234,8 +237,11 @@ class Index:
             self._accept(read(records.where(number == n), key, text, digest, self.counts), n)
         return self.pairs(numbers)
 
+    def _columns(self, folder: str) -> str:
+        return self.FOLDERS[folder] if folder in self.FOLDERS else self.TABLES[folder][0]
+
     def _rows(self, folder: str, before: int | None = None) -> DataFrame:
-        schema = T.StructType.fromDDL(self.FOLDERS[folder] + ", batch int")
+        schema = T.StructType.fromDDL(self._columns(folder) + ", batch int")
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
         return rows if before is None else rows.where(F.col("batch") < before)
 
@@ -251,18 +257,18 @@ class Index:
     def _accept(self, found: DataFrame, number: int) -> None:
         rows = stage(found.withColumn("uid", F.monotonically_increasing_id()), "batch")
         heads = rows.where("sign is not null").groupBy("sign").agg(F.min(F.struct("rec", "uid")).alias("head"))
-        known = self.spark.table(self._name("classes")).where(F.col("batch") < number).select("sign", F.col("class").alias("known"))
+        known = self.spark.table(self._name("members")).where(F.col("batch") < number).groupBy("sign").agg(F.min("class").alias("known"))
         named = heads.join(known, "sign", "left").select("sign", "head.uid", F.coalesce("known", "head.rec").alias("class"), F.col("known").isNull().alias("fresh"))
-        named = stage(named, "named")
-        small = broadcast_if_small(named)
-        self._write(rows.join(small.select("sign", "class"), "sign", "left").select("rec", "class", "h", "none").distinct(), "members", number)
+        named, n = counted(named, "named")
+        small = F.broadcast(named) if n <= MAX_ROWS else named
+        self._write(rows.where("h is not null").select("rec", "h", "none").distinct(), "files", number)
         texts = rows.drop("sign").join(small.drop("sign"), "uid")
         posted = texts.select(F.explode("tokens").alias("token"), "n_words", "class", "fresh")
         if not self.empty:
             self._write(self._links(posted, texts, number), "links", number)
         self._write(texts.where("fresh").select("class", "n_words", "bag"), "bags", number)
         self._insert(posted.where("fresh").select("token", "n_words", "class"), "postings", number)
-        self._insert(named.where("fresh").select("sign", "class"), "classes", number)
+        self._insert(rows.join(small.select("sign", "class"), "sign").select("sign", "rec", "class"), "members", number)
         self.empty = False
         drop(rows, named)
 
@@ -275,15 +281,15 @@ class Index:
         tokens = F.greatest(fewer - (RUN - 1), F.lit(1))
         size = F.least(tokens, F.greatest(F.lit(LEAST), F.ceil(tokens * PREFIX)))
         bar = F.when(fewer <= SHORT, 1).otherwise(F.ceil(F.round(size * BAR, 6)))
-        near = stage(met.groupBy("a", "c", bar.alias("bar")).count().where("count >= bar").select("a", "c"), "near")
+        near, found = counted(met.groupBy("a", "c", bar.alias("bar")).count().where("count >= bar").select("a", "c"), "near")
         ours = texts.select(F.col("class").alias("a"), "n_words", F.col("bag").alias("x"))
         theirs = self._rows("bags", number).select(F.col("class").alias("c"), F.col("n_words").alias("m"), F.col("bag").alias("y"))
-        both = theirs.join(broadcast_if_small(near), "c").join(ours, "a")
+        both = theirs.join(F.broadcast(near) if found <= MAX_ROWS else near, "c").join(ours, "a")
         return both.where(shared_words("x", "y") >= F.ceil(F.round(F.greatest("n_words", "m") * SIMILAR, 6))).select("a", "c")
 
     def members(self) -> DataFrame:
         """``(rec, class, batch)`` of all accepted records with a word."""
-        return self._rows("members").where("class is not null").select("rec", "class", "batch")
+        return self._rows("members").select("rec", "class", "batch").distinct()
 
     def links(self) -> DataFrame:
         """``(a, c)``, a < c: similar classes that came in different batches; with ``members`` all pairs, not written out."""
@@ -299,7 +305,7 @@ class Index:
         one, other = (m.select(F.col("class").alias(c), F.col("rec").alias(f"r{c}"), F.col("batch").alias(f"b{c}")) for c in "ac")
         across = self.links().join(one, "a").join(other, "c").select("ra", "ba", "rc", "bc")
         within = one.join(other, F.col("a") == F.col("c")).where("ba < bc").select("ra", "ba", "rc", "bc")
-        files = self._rows("members").where("h is not null").select("h", "none", "rec", "batch").distinct()
+        files = self._rows("files")
         x, y = files.where("none").alias("x"), files.alias("y")
         same = x.join(y, F.col("x.h") == F.col("y.h")).select(F.col("x.rec").alias("ra"), F.col("x.batch").alias("ba"), F.col("y.rec").alias("rc"), F.col("y.batch").alias("bc"))
         found = across.unionByName(within).unionByName(same).where("ba != bc and ra != rc")
@@ -313,7 +319,7 @@ class Index:
         """Forget the bucketed tables and delete what only further batches would need; members and links stay."""
         for table in self.TABLES:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
-        remove(self.spark, *(f"{self.path}/{f}" for f in (*self.TABLES, "bags", "frozen")))
+        remove(self.spark, *(f"{self.path}/{f}" for f in ("postings", "bags", "frozen")))
 
 
 def replay(records: DataFrame, key: str, batch: str, text: str, digest: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ QUERIES = {
     "p6_found": neighbours.p6_found,
     "p6_neighbours": neighbours.p6_neighbours,
     "p7_ids": tokenizing.p7_ids,
+    "p7_decoded": tokenizing.p7_decoded,
     "p8_found": leakage.p8_found,
     "p9_found": reading.p9_found,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 #: The other operators can't be written as SQL over whole tables, or are approximate; tests
 #: hold them against brute force, exact round trips or held-out labels.
 SQL: dict[str, str] = {
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS decoded FROM documents",
     "p4_found": """SELECT rec_id FROM doc_registry r JOIN chunking_settings s ON s.settings_id = coalesce(r.settings_id, 1)
         WHERE len(list_filter(string_split_regex(content, '[ \\t\\n\\r]+'), lambda x: x != '')) > s.max_size""",
 }

@@ -139,10 +139,10 @@ class Transducer:
 class Encoder:
     """Texts to ids: split by the pattern, then the transducer on each distinct piece."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, ranks: dict[bytes, int] | None = None):
         import regex
 
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(ranks or load_ranks())
         self.split = regex.compile(PATTERN).findall
         self.memory: dict[str, list[int]] = {}
 
@@ -167,14 +167,18 @@ class Encoder:
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the array column ``ids``; one pass, no shuffle. An existing column ``ids`` is replaced."""
+    """``docs`` with the array column ``ids``; one pass, no shuffle. An existing column ``ids`` is replaced.
+
+    The vocabulary file is read by the driver and broadcast (about 1 MB), so executors needn't have it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     kept = [c for c in docs.columns if c != ids]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder or Encoder(shared.value)
             flat: list[int] = []
             ends = [0]
             for value in batch.column(text_at).to_pylist():
@@ -192,13 +196,11 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """``tokens`` with the string column ``text``; a null list gives null, bytes that are no UTF-8 give U+FFFD."""
-    entries = None
+    shared = tokens.sparkSession.sparkContext.broadcast({i: b for b, i in load_ranks(vocabulary).items()})
 
     @F.pandas_udf(T.StringType())
     def run(column):
-        nonlocal entries
-        if entries is None:
-            entries = {i: b for b, i in load_ranks(vocabulary).items()}
+        entries = shared.value
         return column.map(lambda x: None if x is None else "".join(stream(entries[i] for i in x)))
 
     return tokens.withColumn(text, run(F.col(f"`{ids}`")))
@@ -214,6 +216,13 @@ def stream(pieces: Iterable[bytes]) -> Iterator[str]:
         yield out
 
 
+def p7_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """All documents encoded and decoded again, and whether that gives the text."""
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text")
+    back = decode(encode(docs))
+    return back.select("doc_id", F.md5(F.encode("decoded", "UTF-8")).alias("decoded"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text")
     return encode(docs).select("doc_id", "ids")

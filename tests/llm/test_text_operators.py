@@ -91,6 +91,36 @@ def test_boilerplate(spark):
     assert P.classified(table.limit(0), "rec", "host", "content").count() == 0
 
 
+def test_boilerplate_of_any_length(spark):
+    rng = random.Random(5)
+    notice = passage(40, rng) + "."
+    legal = passage(60, rng) + "."
+    rows, truth = [], {}
+
+    def page(host, marked):
+        rows.append((len(rows), host, "\n".join(t for t, _ in marked)))
+        truth[rows[-1][0]] = {j + 1 for j, (_, gone) in enumerate(marked) if gone}
+
+    for _ in range(20):  # long notices below long bodies, one beside a short node, one as a part, one behind the page's own text
+        page("a.example", [(passage(40, rng), False), ("Send us feedback", True), (notice, True), (legal, True), (f"{notice} Send us feedback", True), (f"{notice} | Send us feedback", True), (f"{passage(40, rng)} | Send us feedback", False)])
+    for _ in range(20):  # all long lines are notices
+        page("b.example", [(passage(20, rng), False), (legal, True)])
+    body = [passage(40, rng) for _ in range(12)]
+    for i in range(12):  # near copies of a body, which stays one
+        page("c.example", [(body[0], False), *((passage(40, rng) if j == i else t, False) for j, t in enumerate(body[1:], 1)), ("all about this page", True), (legal, True)])
+    for _ in range(12):
+        page("c.example", [(passage(40, rng), False), ("all about this page", True), (legal, True)])
+    got = {r.rec: set(r.removed) for r in P.classified(spark.createDataFrame(rows, "rec long, host string, content string"), "rec", "host", "content").collect()}
+    assert got == truth
+
+
+def test_two_nodes_side_by_side():
+    site, low = "quill", {P.node(t, "quill"): 0.1 * i for i, t in enumerate(("Our 12 Quill pages: ", "™ of this site and of all the other sites we run", "About"), 1)}
+    cut = lambda text: P.side_by_side(text, low, site)
+    assert abs(cut("our 7 quill pages:  ™ of this site and of all the other sites we run.") - 0.2) < 1e-9 and abs(cut("About about") - 0.3) < 1e-9
+    assert cut("About our site") == cut("About") == cut("") == 1.0
+
+
 EASY = ["the cat sits", "we like the red cup", "is the door open", "go home now", "the dog runs"]
 MIDDLE = ["to configure the search index set the limit and restart the upload queue", "the retry policy monitors the vector cache every hour", "although the report looks stable the operator removes the backup"]
 HARD = ["epistemological heteroscedasticity presupposes incommensurable parameterisation", "notwithstanding methodological orthogonality the counterfactual quantification necessitates decomposition"]
